@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from .jaccard import op9_ngram_jaccard_join
+from .langid import op8_language_id
+from .pieces import op7_sentencepiece
+from .pii import op4_pii
 from .quality import op2_quality_classifier
 
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_pii": op4_pii,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_language_id": op8_language_id,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
