@@ -194,7 +194,8 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     members = C.cut(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")))
     total = members.agg(F.coalesce(F.sum("nb"), F.lit(0))).first()[0]
     tasks = max(1, total // TASK_ROWS)
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    # the members grow with the input, so they are never broadcast, not even where they would be small enough
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").hint("merge")
     dealt = members.join(text, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.withColumn("x", F.least("block", "other").cast("int")).withColumn("y", F.greatest("block", "other").cast("int"))
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("comp", "x", "y"), F.lit(tasks)))
