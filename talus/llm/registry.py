@@ -7,6 +7,7 @@ from .hamming import ORACLE_SQL as TOPK_SQL
 from .hamming import op5_exact_topk
 from .jaccard import op9_ngram_jaccard_join
 from .langid import op8_language_id
+from .lm import op3_lm_scoring
 from .pieces import op7_sentencepiece
 from .pii import op4_pii
 from .quality import op2_quality_classifier
@@ -15,6 +16,7 @@ from .sharding import op10_kd_tree_sharding
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_pii": op4_pii,
     "op5_exact_topk": op5_exact_topk,
     "op7_sentencepiece": op7_sentencepiece,
