@@ -11,6 +11,7 @@ from .lm import op3_lm_scoring
 from .pieces import op7_sentencepiece
 from .pii import op4_pii
 from .quality import op2_quality_classifier
+from .repeats import op6_suffix_array_dedup
 from .sharding import op10_kd_tree_sharding
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_pii": op4_pii,
     "op5_exact_topk": op5_exact_topk,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
