@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import suffixes
 
-LENGTH, KMER = 200, 32
+LENGTH, KMER = 200, 64
 #: Different runs of an anchor that a shard takes, and bytes of a shard.
-HOT, SHARD_BYTES = 2048, 4 << 20
+HOT, SHARD_BYTES = 8192, 4 << 20
 #: Bits of the Bloom filter (8 MB).
 BLOOM_BITS = 26
 _BYTE = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64) * C.U64(2) + C.U64(1)
@@ -119,9 +119,9 @@ def _near(source: DataFrame, bits) -> DataFrame:
 def repeated_in_shard(contents: list[bytes], length: int = LENGTH, memory: int | None = None) -> list[np.ndarray]:
     """Of each of several different byte strings: which of its windows stand elsewhere among them."""
     at = np.r_[0, np.cumsum([len(x) + 1 for x in contents])]
-    text = np.ones(at[-1] + 1, np.uint16)
     raw = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
-    text[:-1] = raw.astype(np.uint16) + 2
+    text = np.ones(at[-1] + 1, np.uint8 if raw.max() < 254 else np.uint16)  # no byte of UTF-8 is over 244
+    text[:-1] = raw.astype(text.dtype) + 2
     text[at[1:] - 1], text[-1] = 1, 0
     order, shared = suffixes.sort(text, 258, length, memory)
     hit = np.zeros(len(text), bool)

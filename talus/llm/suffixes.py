@@ -24,7 +24,8 @@ _ENTRY = np.dtype([("at", np.int64), ("lcp", np.int16)])
 class Queues:
     """First-in, first-out blocks of (position, common prefix) for each symbol, on disk beyond MEMORY entries."""
 
-    def __init__(self, symbols: int, memory: int | None = None):
+    def __init__(self, symbols: int, memory: int | None = None, carry: bool = True):
+        self.carry = carry  # whether common prefixes are
         self.blocks: list[list] = [[] for _ in range(symbols)]
         self.least = np.full(symbols, -1, np.int64)  # least common prefix since the symbol's last entry was induced
         self.memory, self.held, self.file = MEMORY if memory is None else memory, 0, None
@@ -70,6 +71,13 @@ class Queues:
         order = np.argsort(symbol, kind="stable")
         ok, before, symbol = ok[order], before[order], symbol[order]
         used, first = np.unique(symbol, return_index=True)
+        if not self.carry:
+            if not len(ok):
+                return
+            zero = np.zeros(len(before), np.int16)
+            for c, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(before)], strict=True):
+                self.push(c, before[a:b], zero[a:b])
+            return
         whole = lcp.min()
         known = self.least[used].copy()
         np.minimum(self.least, whole, out=self.least)
@@ -103,28 +111,40 @@ def types(text: np.ndarray) -> np.ndarray:
     return step[nearest] < 0
 
 
-def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Length of the common prefix of suffixes a and b, up to cap."""
-    out = np.zeros(len(a), np.int16)
-    live = np.arange(len(a))
-    n = len(text)
-    for k in range(cap):
-        x, y = a[live] + k, b[live] + k
-        ok = (x < n) & (y < n)
-        ok[ok] = text[x[ok]] == text[y[ok]]
-        live = live[ok]
-        if not len(live):
-            break
-        out[live] = k + 1
-    return out
-
-
-def _induce(text, is_l, lms, lms_lcp, symbols: int, cap: int, memory: int | None):
-    """All suffixes in order, and the prefix each shares with the one before, from LMS suffixes in order of first symbol."""
+class Prefixes:
+    """Lengths of common prefixes, eight bytes of symbols at a time."""
+
+    def __init__(self, text: np.ndarray):
+        self.per = 8 // text.itemsize
+        padded = np.concatenate([text, np.zeros(self.per, text.dtype)])
+        self.word = np.zeros(len(text), np.uint64)
+        for k in range(self.per):
+            self.word |= padded[k : k + len(text)].astype(np.uint64) << np.uint64(8 * text.itemsize * k)
+        self.bits = 8 * text.itemsize
+
+    def shared(self, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+        """Length of the common prefix of suffixes a and b, up to cap. The last symbol is unique, so none runs over the end."""
+        out = np.full(len(a), cap, np.int16)
+        live, n = np.flatnonzero(a != b), len(self.word)
+        for k in range(0, cap, self.per):
+            x, y = a[live] + k, b[live] + k
+            differ = self.word[np.minimum(x, n - 1)] ^ self.word[np.minimum(y, n - 1)]
+            ended = differ != 0
+            low = differ[ended] & (~differ[ended] + np.uint64(1))  # the lowest bit that differs
+            equal = np.bitwise_count(low - np.uint64(1)) // self.bits
+            out[live[ended]] = np.minimum(k + equal, cap)
+            live = live[~ended]
+            if not len(live):
+                break
+        return out
+
+
+def _induce(text, is_l, lms, lms_lcp, symbols: int, cap: int, memory: int | None, prefixes: Prefixes | None):
+    """All suffixes in order, and the prefix each shares with the one before, from LMS suffixes in order of first symbol. Without prefixes only the order is induced."""
     edge = np.searchsorted(text[lms], np.arange(symbols + 1))
-    left = Queues(symbols, memory)
+    left = Queues(symbols, memory, prefixes is not None)
     l_at, l_lcp = [np.zeros(0, np.int64)] * symbols, [np.zeros(0, np.int16)] * symbols
-    one = lambda a, b: _shared(text, np.array([a]), np.array([b]), cap)[0]
+    one = lambda a, b: prefixes.shared(np.array([a]), np.array([b]), cap)[0] if prefixes else 0
     for c in range(symbols):
         got = []
         while (block := left.pop(c)) is not None:
@@ -137,7 +157,7 @@ def _induce(text, is_l, lms, lms_lcp, symbols: int, cap: int, memory: int | None
             lcp = lms_lcp[edge[c] : edge[c + 1]].copy()
             lcp[0] = one(l_at[c][-1], seeds[0]) if len(l_at[c]) else 0
             left.induce(text, is_l, True, seeds, lcp, cap)
-    right = Queues(symbols, memory)
+    right = Queues(symbols, memory, prefixes is not None)
     out_at, out_lcp = [], []
     for c in range(symbols - 1, -1, -1):
         got = []
@@ -190,7 +210,7 @@ def sort(text: np.ndarray, symbols: int, cap: int, memory: int | None = None) ->
     is_lms[1:] = ~is_l[1:] & is_l[:-1]
     lms_at = np.flatnonzero(is_lms)
     begin = lms_at[np.argsort(text[lms_at], kind="stable")]
-    first, _ = _induce(text, is_l, begin, np.zeros(len(begin), np.int16), symbols, cap, memory)
+    first, _ = _induce(text, is_l, begin, np.zeros(len(begin), np.int16), symbols, cap, memory, None)
     order = first[is_lms[first]]
     name = _names(text, lms_at, order, is_lms)
     rank = np.empty(len(order), np.int64)
@@ -205,5 +225,6 @@ def sort(text: np.ndarray, symbols: int, cap: int, memory: int | None = None) ->
         rank[by] = name
         order, depth = lms_at[by], depth * 2
     lcp = np.zeros(len(order), np.int16)
-    lcp[1:] = _shared(text, order[:-1], order[1:], cap)
-    return _induce(text, is_l, order, lcp, symbols, cap, memory)
+    prefixes = Prefixes(text)
+    lcp[1:] = prefixes.shared(order[:-1], order[1:], cap)
+    return _induce(text, is_l, order, lcp, symbols, cap, memory, prefixes)
