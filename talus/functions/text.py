@@ -121,7 +121,8 @@ def clean_for_agents(text: Column) -> Column:
     """Collapsed, at most one empty line in a row, no decoration, no rule lines, trimmed."""
     text, _ = collapse_char_per_line(text)
     squeeze = lambda t: F.regexp_replace(t, "\n{3,}", "\n\n")
-    return F.trim(squeeze(F.regexp_replace(F.regexp_replace(squeeze(text), DECORATION, ""), r"(?m)^[\s\-=]{10,}$", "")))
+    lines = squeeze(F.regexp_replace(F.regexp_replace(squeeze(text), DECORATION, ""), r"(?m)^[\s\-=]{10,}$", ""))
+    return F.regexp_replace(lines, r"^\s+|\s+$", "")
 
 
 def replace_words(text: Column, mapping: list[tuple[str, str]]) -> Column:

@@ -39,8 +39,8 @@ def enrich_index(index: DataFrame, sides: dict[str, tuple[DataFrame, str, list[s
 
 def map_sums(rows: DataFrame, by: list[str], counts: str) -> DataFrame:
     """by and the sum of maps of counts."""
-    each = rows.select(*by, F.explode(counts).alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
-    return each.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(counts))
+    each = rows.select(*by, F.explode(counts).alias("__k", "__v")).groupBy(*by, "__k").agg(F.sum("__v").alias("__v"))
+    return each.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__k", "__v")))).alias(counts))
 
 
 def touch_counts(events: DataFrame) -> DataFrame:

@@ -43,8 +43,11 @@ def components(nodes: DataFrame, edges: DataFrame, by: str = "graph") -> DataFra
             return label
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, by: str = "graph", every: int = 10) -> DataFrame:
-    """rank of each node after a fixed number of rounds; parallel edges count, what dangling nodes have is spread."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, by: str = "graph") -> DataFrame:
+    """rank of each node after a fixed number of rounds; parallel edges count, what dangling nodes have is spread.
+
+    A round reads the ranks twice, so each ends the lineage: plans would double otherwise.
+    """
     known = nodes.select(by, "id").distinct()
     e = edges.join(known.withColumnRenamed("id", "src"), [by, "src"], "left_semi").join(known.withColumnRenamed("id", "dst"), [by, "dst"], "left_semi")
     e = e.groupBy(by, "src", "dst").agg(F.count("*").alias("k"))
@@ -53,13 +56,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     size = known.groupBy(by).agg(F.count("*").alias("n"))
     base = cut(known.join(size, by).join(out.select(by, F.col("src").alias("id"), F.lit(1).alias("links")), [by, "id"], "left"))
     rank = cut(base.withColumn("rank", 1.0 / F.col("n")))
-    for r in range(rounds):
+    for _ in range(rounds):
         came = e.join(rank.select(by, F.col("id").alias("src"), "rank"), [by, "src"]).groupBy(by, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
         lost = rank.where("links is null").groupBy(by).agg(F.sum("rank").alias("lost"))
         rank = base.join(came, [by, "id"], "left").join(lost, by, "left")
-        rank = rank.select(by, "id", "n", "links", ((1 - damping) / F.col("n") + damping * (F.coalesce("came", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))).alias("rank"))
-        if (r + 1) % every == 0:
-            rank = cut(rank)
+        rank = cut(rank.select(by, "id", "n", "links", ((1 - damping) / F.col("n") + damping * (F.coalesce("came", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))).alias("rank")))
     return rank.select(by, "id", F.round("rank", 6).alias("rank"))
 
 

@@ -145,7 +145,7 @@ _CLEAN = r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 c AS (SELECT doc_id, CASE WHEN contains(text, chr(10)) AND len(ls) > 6 AND len(list_filter(ls, lambda x: length(x) <= 1)) / len(ls) > 0.7 THEN array_to_string(ls, '') ELSE text END AS t FROM l),
 d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', E'\n\n', 'g'), '[─-╿▀-▟■-◿☀-➿←-⇿]', '', 'g') AS t FROM c)
-SELECT doc_id, trim(regexp_replace(regexp_replace(t, '(?m)^[\s\-=]{10,}$', '', 'g'), '\n{3,}', E'\n\n', 'g'), ' ') AS cleaned FROM d"""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?m)^[\s\-=]{10,}$', '', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM d"""
 
 
 @query(_CLEAN)
