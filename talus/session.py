@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,25 @@ def session(name: str = "talus", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def discard() -> None:
+    """Delete the tables that cut() wrote."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may have gone
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the folder that executors share (spark.checkpoint.dir, a local one where it is unset) and read again."""
     spark = df.sparkSession
     path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:/tmp/talus-checkpoints').rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

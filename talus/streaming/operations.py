@@ -124,8 +124,14 @@ def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hour", use
 
 
 def run_once(query) -> None:
-    """Runs a stream writer over what is there, then stops."""
-    q = query.trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
+    """Runs a stream writer over what is there, then stops.
+
+    Without batches for time alone: a state that waits for its timeout would ask for another one forever.
+    """
+    conf, key = SparkSession.active().conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        query.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(key, before)
