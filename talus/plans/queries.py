@@ -228,9 +228,9 @@ def tier_vs_label(spark, d):
     return A.compare_passes(docs.select("doc_id", (F.col("n_chars") >= 2000).alias("v")), labels.select("doc_id", (F.col("quality") == 1).alias("v")), ["doc_id"], "v")
 
 
-@query("SELECT coalesce(a.custkey, b.custkey) AS custkey, coalesce(left_value, -1) AS left_value, coalesce(right_value, -1) AS right_value, CASE WHEN right_value IS NULL THEN 'only_left' WHEN left_value IS NULL THEN 'only_right' WHEN left_value <> right_value THEN 'mismatch' ELSE 'both' END AS status FROM (SELECT c_custkey AS custkey, CAST(c_custkey % 20 AS BIGINT) AS left_value FROM customer WHERE c_custkey % 7 <> 0) a FULL JOIN (SELECT o_custkey AS custkey, count(*) AS right_value FROM orders GROUP BY 1) b ON a.custkey = b.custkey")
+@query("SELECT coalesce(a.custkey, b.custkey) AS custkey, coalesce(left_value, -1) AS left_value, coalesce(right_value, -1) AS right_value, CASE WHEN right_value IS NULL THEN 'only_left' WHEN left_value IS NULL THEN 'only_right' WHEN left_value <> right_value THEN 'mismatch' ELSE 'both' END AS status FROM (SELECT c_custkey AS custkey, CAST(c_nationkey AS BIGINT) AS left_value FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT o_custkey AS custkey, count(*) AS right_value FROM orders GROUP BY 1) b ON a.custkey = b.custkey")
 def store_consistency(spark, d):
-    c = read(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("custkey"), (F.col("c_custkey") % 20).alias("v"))
+    c = read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").cast("bigint").alias("v"))
     o = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("v"))
     return R.compare_stores(c, o, "custkey", "v").na.fill(-1, ["left_value", "right_value"])
 
@@ -447,11 +447,11 @@ def name_families(spark, d):
 
 def _event_graph(spark, d) -> tuple[DataFrame, DataFrame]:
     e = read(spark, d, "events").withColumn("next", F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    edges = e.where("next is not null and user_id % 10 = 0").select(F.col("user_id").alias("graph"), F.col("event_type").alias("src"), F.col("next").alias("dst"))
-    return e.where("user_id % 10 = 0").select(F.col("user_id").alias("graph"), F.col("event_type").alias("id")).distinct(), edges
+    edges = e.where("next is not null").select(F.col("user_id").alias("graph"), F.col("event_type").alias("src"), F.col("next").alias("dst"))
+    return e.select(F.col("user_id").alias("graph"), F.col("event_type").alias("id")).distinct(), edges
 
 
-_GRAPH = "n AS (SELECT user_id AS graph, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events WHERE user_id % 10 = 0), e AS (SELECT * FROM n WHERE dst IS NOT NULL)"
+_GRAPH = "n AS (SELECT user_id AS graph, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT * FROM n WHERE dst IS NOT NULL)"
 
 
 @query(f"WITH {_GRAPH}, i AS (SELECT graph, dst AS id, count(*) AS c FROM e GROUP BY 1, 2), o AS (SELECT graph, src AS id, count(*) AS c FROM e GROUP BY 1, 2), k AS (SELECT DISTINCT graph, src AS id FROM n) SELECT graph, id, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree FROM k LEFT JOIN i USING (graph, id) LEFT JOIN o USING (graph, id)")
