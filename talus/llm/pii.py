@@ -170,7 +170,10 @@ class Pseudonyms:
         octets = text.split(".")
         if any(int(x) > 255 or len(x) > 1 and x[0] == "0" for x in octets):
             return None
-        return ".".join(map(str, self._number(list(map(int, octets)), [256] * 4, "ipv4")))
+        low = [(0, 10, 100)[len(x) - 1] for x in octets]  # each part keeps its number of digits
+        size = [(10, 90, 156)[len(x) - 1] for x in octets]
+        new = self._number([int(x) - a for x, a in zip(octets, low, strict=True)], size, f"ipv4{size}")
+        return ".".join(str(v + a) for v, a in zip(new, low, strict=True))
 
     def _date(self, text):
         iso = "-" in text
