@@ -4,16 +4,20 @@ Texts are compared as lower-case words (marks and white space aside). The CGK wa
 word p in step j and goes on to p + 1 where a random bit of (step, word) says so; the symbols it stands at are the
 embedding, and sequences at a small edit distance get embeddings at a small Hamming distance. Items are put into
 classes of similar word counts; for each class, WALKS independent walks are sampled SAMPLES times at BITS
-coordinates, and a window that agrees with an item on one sample is a candidate. Windows start at every word. Those
-that can't be within EDITS of any item are left out first: each edit of a word destroys two word pairs at most, so
-a window keeps all but two pairs an edit (a lossless count), and a candidate has half of its item's words near it
-(lossless likewise). A candidate is verified by the least edit distance
-between the item and any part of the text around the window, in characters, by Myers' bit vectors: it counts with
-SIMILARITY or more.
+coordinates, and a window that agrees with an item on one sample is a candidate. Windows start at every word; those
+that can't be within EDITS of any item in words are left out of the walks first: each edit of a word destroys two word
+pairs at most, so a window keeps all but two pairs an edit. That count is lossless for edited words only.
+
+SIMILARITY counts characters, and a letter changed in each of many words leaves few words and pairs whole. So a second
+source of candidates is blind to words: every GRAM bytes of the text are looked up among those of the items, and a part
+of the text with HITS of them (one for HIT_BYTES bytes of a longer item), each about where the item has it, is a
+candidate too. A candidate of either source is verified by the least edit distance between the item and any part of the
+text around it, in characters, by Myers' bit vectors: it counts with SIMILARITY or more.
 
 Recall: a window with at most EDITS of its words edited agrees in each coordinate at least every second time on
 average, so all samples miss with probability (1 - 0.5 ** BITS) ** (WALKS * SAMPLES) = 2.7e-6 were they
-independent; the tests measure it on edited passages.
+independent. No bound holds for the seeds: edits less than GRAM bytes apart all over an item leave none. The tests
+measure both on edited passages.
 
 Defined cases: null and empty texts and items without a word match nothing; rows with a null doc_id are searched like
 any other; repeated rows and repeated items give a row each; a document shorter than an item can still match it within
@@ -35,6 +39,11 @@ SIMILARITY, EDITS = 0.8, 0.25
 WALKS, SAMPLES, BITS = 6, 16, 3
 #: Ratio of word counts in a class, and bytes of items that tasks get at a time (more items mean more passes).
 CLASS_RATIO, PASS_BYTES = 1.25, 32 << 20
+#: Bytes of a seed, hits that make a candidate (at least, and one for so many bytes of the item), and width in bytes of
+#: a band of starts (indels move the later hits).
+GRAM, HITS, HIT_BYTES, BAND = 8, 6, 28, 32
+#: Bits of the table that seeds are looked up in first, and words of 64 bits in an item that is verified with others.
+SEEN_BITS, BLOCKS = 20, 16
 _PAIR, _PAD = C.U64(0x9E3779B97F4A7C15), C.U64(0x5851F42D4C957F2D)
 
 
@@ -92,6 +101,7 @@ class Items:
         inner = np.ones(max(0, len(h) - 1), bool)
         inner[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(h))] - 1] = False
         self.pairs = C.HashIndex(np.unique(_pairs(h)[inner]))
+        self._seeds()
         self.classes = []
         lo = 1
         while len(self.size) and lo <= self.size.max():
@@ -111,6 +121,69 @@ class Items:
         unique, at = np.unique(flat[order], return_index=True)
         return {"lo": lo, "need": max(0, lo - 1 - 2 * math.floor(EDITS * hi)), "places": places, "index": C.HashIndex(unique), "at": np.r_[at, len(flat)], "item": np.repeat(members, keys.shape[1])[order]}
 
+    def _seeds(self):
+        """The items' character n-grams with their places, and the edits that SIMILARITY allows each item."""
+        length = np.array([len(t) for t in self.text], np.int64)
+        self.edits = [int((1 - SIMILARITY) * n + 1e-9) for n in length]
+        self.hits = np.maximum(HITS, length // HIT_BYTES)
+        raw = np.frombuffer(b"".join(self.text), np.uint8)
+        begin = np.r_[0, np.cumsum(length)].astype(np.int64)
+        item = np.repeat(np.arange(len(length)), length)
+        place = np.arange(len(raw)) - begin[item]
+        inside = np.flatnonzero(place + GRAM <= length[item])
+        code = grams(raw, GRAM)[inside]
+        order = np.argsort(code, kind="stable")
+        unique, at = np.unique(code[order], return_index=True)
+        self.seeds, self.seed_at = C.HashIndex(unique), np.r_[at, len(code)]
+        self.seed_item, self.seed_place = item[inside][order], place[inside][order]
+        self.seed_slots = np.zeros(1 << SEEN_BITS, bool)
+        self.seed_slots[_slot(unique, SEEN_BITS)] = True
+
+    def near(self, text: np.ndarray, row_at: np.ndarray):
+        """(row, item, lo, hi, start) of parts of a plain() text with enough n-grams of an item, each about where the item has it."""
+        none = [np.zeros(0, np.int64)] * 5
+        code = grams(text, GRAM)
+        at = np.flatnonzero(self.seed_slots[_slot(code, SEEN_BITS)])
+        got = self.seeds.find(code[at])
+        at, got = at[got >= 0], got[got >= 0]
+        kept = []
+        for a in range(0, len(at), 1 << 18):
+            p, g = at[a : a + (1 << 18)], got[a : a + (1 << 18)]
+            many = self.seed_at[g + 1] - self.seed_at[g]
+            k = np.repeat(self.seed_at[g] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            p = np.repeat(p, many)
+            kept.append((p, self.seed_item[k], p - self.seed_place[k] + (1 << 20)))
+        if not kept:
+            return none
+        p, item, start = (np.concatenate(x) for x in zip(*kept, strict=True))
+        # counters of (item, band of starts); two that share a slot only add up, so that none is lost
+        band, bits = start // BAND, min(22, max(12, int(2 * len(start)).bit_length()))
+        slot = _slot((item.astype(C.U64) << C.U64(40)) + (band >> 1).astype(C.U64), bits)
+        other = _slot((item.astype(C.U64) << C.U64(40)) + ((band + 1) >> 1).astype(C.U64) + C.U64(1 << 39), bits)
+        left, right = np.bincount(slot, minlength=1 << bits), np.bincount(other, minlength=1 << bits)
+        enough = np.flatnonzero(np.maximum(left[slot], right[other]) >= self.hits[item])
+        p, item, start = p[enough], item[enough], start[enough] - (1 << 20)
+        row = np.searchsorted(row_at, p, "right") - 1
+        order = np.lexsort((start, item, row))
+        row, item, start = row[order], item[order], start[order]
+        # runs of starts at most BAND apart; one that has enough of them inside two bands
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > BAND)
+        run = np.cumsum(new) - 1
+        far = np.arange(len(row)) + self.hits[item] - 1
+        inside = far < len(row)
+        far = np.minimum(far, len(row) - 1)
+        dense = inside & (run[far] == run) & (start[far] - start < 2 * BAND)
+        if not dense.any():
+            return none
+        run, row, item, first, last = (x[dense] for x in (run, row, item, start, start[far]))
+        begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        row, item = row[begin], item[begin]
+        first, last, middle = first[begin], np.maximum.reduceat(last, begin), start[dense][(begin + np.r_[begin[1:], len(run)] - 1) // 2]
+        length = np.array([len(t) for t in self.text], np.int64)[item]
+        edits = np.array(self.edits, np.int64)[item]
+        return row, item, np.maximum(row_at[row], first - edits), np.minimum(row_at[row + 1], last + length + edits), middle
+
     def candidates(self, h: np.ndarray, first: np.ndarray):
         """(start word, item) that agree on a sample; windows stay inside rows."""
         row_end = np.repeat(first[1:], np.diff(first))
@@ -139,31 +212,114 @@ class Items:
     def search(self, data: np.ndarray, at: np.ndarray):
         """Verified (row, item, similarity, first word of the window in its row)."""
         data, s, e, first, h = tokens(data, at)
-        where, item = self.candidates(h, first)
-        if not len(where):
+        if not len(h) or not self.ids:
             return []
-        row = np.searchsorted(first, where, "right") - 1
-        order = np.lexsort((where, item, row))
-        where, item, row = where[order], item[order], row[order]
-        new = np.ones(len(where), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (where[1:] - where[:-1] > self.size[item[1:]])
-        begin = np.flatnonzero(new)
-        out = {}
-        for a, b in zip(begin, np.r_[begin[1:], len(where)], strict=True):
-            r, i = int(row[a]), int(item[a])
-            margin = math.ceil(EDITS * self.size[i]) + 1
-            lo, hi = max(first[r], where[a] - margin), min(first[r + 1], where[b - 1] + self.size[i] + margin)
-            near = set(h[lo:hi].tolist())
-            if sum(w in near for w in self.words[i]) < self.size[i] // 2:
-                continue
-            text = data[s[lo] : e[hi - 1]]
-            text = b" ".join(np.where(C.WORDY[text], text, 32).astype(np.uint8).tobytes().split())
-            length = len(self.text[i])
-            likeness = 1 - edit_distance_within(self.text[i], text, self.table[i]) / length
+        text, word_at = plain(data, s, e)
+        row_at = word_at[first]
+        found = []
+        where, item = self.candidates(h, first)
+        if len(where):
+            row = np.searchsorted(first, where, "right") - 1
+            order = np.lexsort((where, item, row))
+            where, item, row = where[order], item[order], row[order]
+            new = np.ones(len(where), bool)
+            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (where[1:] - where[:-1] > self.size[item[1:]])
+            begin = np.flatnonzero(new)
+            for a, b in zip(begin, np.r_[begin[1:], len(where)], strict=True):
+                r, i = int(row[a]), int(item[a])
+                margin = math.ceil(EDITS * self.size[i]) + 1
+                lo, hi = max(first[r], where[a] - margin), min(first[r + 1], where[b - 1] + self.size[i] + margin)
+                found.append((r, i, int(word_at[lo]), int(word_at[hi]) - 1, int(where[a] - first[r])))
+        for r, i, lo, hi, start in zip(*(x.tolist() for x in self.near(text, row_at)), strict=True):
+            word = int(np.searchsorted(word_at, max(start, lo), "right")) - 1
+            found.append((r, i, lo, hi, max(0, word - int(first[r]))))
+        out: dict[tuple[int, int], tuple[float, int]] = {}
+        for (r, i, _, _, start), distance in zip(found, self.distances(text, found), strict=True):
+            likeness = 1 - distance / len(self.text[i])
             if likeness >= SIMILARITY and likeness > out.get((r, i), (0, 0))[0]:
-                out[r, i] = (likeness, int(where[a] - first[r]))
+                out[r, i] = (likeness, start)
         return [(r, i, *v) for (r, i), v in sorted(out.items())]
 
+    def distances(self, text: np.ndarray, found: list[tuple]) -> np.ndarray:
+        """edit_distance_within() of each (row, item, lo, hi, start), for many at once: 64 rows of the bit vectors a word."""
+        out = np.zeros(len(found), np.int64)
+        if not found:
+            return out
+        _, item, lo, hi, _ = np.array(found, np.int64).T
+        blocks = -(-np.array([len(self.text[i]) for i in item]) // 64)
+        order = np.lexsort((hi - lo, blocks))
+        for k in order[blocks[order] > BLOCKS].tolist():
+            out[k] = edit_distance_within(self.text[item[k]], text[lo[k] : hi[k]].tobytes(), self.table[item[k]])
+        order = order[blocks[order] <= BLOCKS]
+        # a long part of a text becomes pieces that overlap by an item and its edits
+        step = np.array([len(t) for t in self.text], np.int64)[item[order]]
+        over = step + np.array(self.edits, np.int64)[item[order]]
+        many = np.maximum(1, -(-(hi[order] - lo[order] - over) // step))
+        part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        order, step, over = (np.repeat(x, many) for x in (order, step, over))
+        lo, hi = lo[order] + part * step, np.minimum(hi[order], lo[order] + (part + 1) * step + over)
+        owner, item, blocks, order = order, item[order], blocks[order], np.lexsort((hi - lo, blocks[order]))
+        out[owner] = np.iinfo(np.int64).max
+        for a in range(0, len(order), 2048):
+            k = order[a : a + 2048]
+            used, at = np.unique(item[k], return_inverse=True)
+            wide = int(blocks[k].max())
+            match = np.zeros((wide, len(used), 256), C.U64)
+            for n, i in enumerate(used.tolist()):
+                raw, j = np.frombuffer(self.text[i], np.uint8), np.arange(len(self.text[i]))
+                np.bitwise_or.at(match, (j // 64, n, raw), C.U64(1) << (j % 64).astype(C.U64))
+            distance = _distances(match, at, np.array([len(self.text[i]) for i in item[k]]), text, lo[k], hi[k])
+            np.minimum.at(out, owner[k], distance)
+        return out
+
+
+def _distances(match, at, length, text, lo, hi) -> np.ndarray:
+    wide, n = len(match), len(at)
+    one, top = C.U64(1), C.U64(63)
+    plus, minus = np.full((wide, n), ~C.U64(0)), np.zeros((wide, n), C.U64)
+    score, best = length.copy(), length.copy()
+    bit, ends = ((length - 1) % 64).astype(C.U64), [np.flatnonzero((length - 1) // 64 == w) for w in range(wide)]
+    for t in range(int((hi - lo).max(initial=0))):
+        # past its end a text goes on with a byte of no item, which never makes a distance less
+        c = np.where(lo + t < hi, text[np.minimum(lo + t, len(text) - 1)], 0)
+        cell = at * 256 + c
+        up_in = down_in = np.zeros(n, C.U64)
+        for w in range(wide):
+            p, m, eq = plus[w], minus[w], match[w].take(cell)
+            v = eq | m
+            eq = eq | down_in
+            h = (((eq & p) + p) ^ p) | eq
+            up, down = m | ~(h | p), p & h
+            if len(end := ends[w]):
+                score[end] += ((up[end] >> bit[end]) & one).view(np.int64) - ((down[end] >> bit[end]) & one).view(np.int64)
+            up_out, down_out = up >> top, down >> top
+            up, down = (up << one) | up_in, (down << one) | down_in
+            plus[w], minus[w] = down | ~(v | up), up & v
+            up_in, down_in = up_out, down_out
+        np.minimum(best, score, out=best)
+    return best
+
+
+def plain(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with a space after each, and where each starts (words + 1)."""
+    size = e - s
+    word_at = np.r_[0, np.cumsum(size + 1)].astype(np.int64)
+    out = np.full(word_at[-1], 32, np.uint8)
+    out[np.arange(size.sum()) + np.repeat(np.arange(len(s)), size)] = data[C.WORDY[data]]
+    return out, word_at
+
+
+def grams(text: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from each place on (zeros after the end) as a number, n at most 8."""
+    out = np.zeros(len(text), C.U64)
+    for k in range(min(n, len(text))):
+        out[: len(text) - k] |= text[k:].astype(C.U64) << C.U64(8 * k)
+    return out
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * C.U64(0x9E3779B97F4A7C15)) >> C.U64(64 - bits)).astype(np.int64)
+
 
 def sample_keys(h: np.ndarray, start: np.ndarray, end: np.ndarray, places: np.ndarray, salt: int) -> np.ndarray:
     """(windows, walks * samples): a hash of the symbols at each sample's coordinates of each walk's embedding."""

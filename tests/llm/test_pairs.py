@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from talus.llm import common as C
 from talus.llm import components, hamming, jaccard, lm, repeats, sharding, suffixes
 from talus.llm import decontaminate as D
 
@@ -179,6 +180,38 @@ def test_decontamination_finds_whole_and_edited_items(spark, sf):
     assert found / len(items) >= 0.95
 
 
+@pytest.mark.parametrize(("share", "recall"), [(0.3, 0.99), (0.5, 0.99), (1, 0.9)])
+def test_decontamination_finds_items_with_a_letter_changed_in_many_words(spark, share, recall):
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    rng, index = random.Random(8), D.Items([k for k, _ in items], [x for _, x in items])
+    host = [t for t in texts(spark, "/root/testdata/sf0.01").values() if len(t) > 1500]
+    norm = lambda t: b" ".join(re.findall(rb"[a-z0-9\x80-\xff]+", t.lower().encode()))
+    alike, rows = [], []
+    for n, (k, x) in enumerate(items):
+        w = x.split()
+        for j in rng.sample(range(len(w)), int(share * len(w))):
+            at = rng.randrange(len(w[j]))
+            w[j] = w[j][:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[j][at + 1 :]
+        if D.edit_distance_within(norm(x), norm(" ".join(w))) <= 0.2 * len(norm(x)):
+            alike.append(k)
+            rows.append(f"{host[n % len(host)][:700]} {' '.join(w)} {host[n % len(host)][700:1400]}")
+    got = {(r, index.ids[i]) for r, i, *_ in index.search(*C.buffer(pa.array(rows)))}
+    assert len(alike) > 150 and sum((r, k) in got for r, k in enumerate(alike)) / len(alike) >= recall
+
+
+def test_decontamination_distances_are_the_single_ones(spark, sf, monkeypatch):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    index = D.Items([k for k, _ in items], [x for _, x in items])
+    data, s, e, first, _ = D.tokens(*C.buffer(pa.array(list(texts(spark, sf).values())[:20])))
+    text, _ = D.plain(data, s, e)
+    rng = random.Random(3)
+    parts = [(0, rng.randrange(len(items)), lo, min(len(text), lo + rng.choice([0, 3, 200, 900, 4000])), 0) for lo in (rng.randrange(len(text)) for _ in range(60))]
+    want = [D.edit_distance_within(index.text[i], text[lo:hi].tobytes()) for _, i, lo, hi, _ in parts]
+    assert index.distances(text, parts).tolist() == want
+    monkeypatch.setattr(D, "BLOCKS", 2)
+    assert index.distances(text, parts).tolist() == want
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "the same text that stands in several rows of this table and is long enough"), (2, None), (3, ""), (4, "?!")], "item_id long, text string")
     assert sorted((r.doc_id or 0, r.item_id) for r in D.find(odd, items).collect()) == [(0, 1), (6, 1), (7, 1), (7, 1)]
