@@ -42,10 +42,11 @@ PATTERNS = {
     "ipv4": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\1\d{4})(?![\w/-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w)|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w)|(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 KINDS = tuple(PATTERNS)
+_NORTH_AMERICAN = re.compile(PATTERNS["phone"].partition(r"|(?<![\w+])\+")[0])
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 _NUMERIC = tuple(k for k in KINDS if k not in ("email", "secret"))
 _SECRET_CUE = re.compile(r"AKIA|ASIA|(?i:passw|pwd|token|secret|api_?key)")
@@ -209,14 +210,18 @@ class Pseudonyms:
 
     def _phone(self, text):
         digits = re.sub(r"\D", "", text)
-        if text[0] != "+" or text[:2] == "+1":
+        if _NORTH_AMERICAN.fullmatch(text):
             ten = digits[-10:]
             new = self._number([int(ten[0]) - 2, int(ten[1:3]), int(ten[3]) - 2, int(ten[4:])], [8, 100, 8, 10**6], "nanp")
             return _fill(text, digits[:-10] + f"{new[0] + 2}{new[1]:02d}{new[2] + 2}{new[3]:06d}")
         if not 8 <= len(digits) <= 15:
             return None
         rest = digits[2:]
-        return _fill(text, digits[:2] + str(self._number([int(rest)], [10 ** len(rest)], f"phone{digits[:2]}{len(rest)}")[0]).zfill(len(rest)))
+        while True:  # on among the numbers that are no North American ones
+            rest = str(self._number([int(rest)], [10 ** len(rest)], f"phone{digits[:2]}{len(rest)}")[0]).zfill(len(rest))
+            new = _fill(text, digits[:2] + rest)
+            if not _NORTH_AMERICAN.fullmatch(new):
+                return new
 
     def _card(self, text):
         digits = re.sub(r"\D", "", text)

@@ -125,6 +125,13 @@ def test_pseudonyms_keep_the_format_and_revert(kind, value):
         assert pii.luhn_digit("".join(digits[:-1])) == digits[-1]
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (136) 555-7479", "+10175557713", *(f"+1 (415) {k:03d}-2671" for k in range(0, 200, 7))])
+def test_phones_of_plus_one_outside_the_north_american_form(value):
+    new, spans = pii.Pseudonyms().replace(f"call {value} now", 11)
+    assert [k for *_, k in spans] == ["phone"] and value not in new
+    assert pii.Pseudonyms(back=True).replace(new, 11)[0] == f"call {value} now"
+
+
 @pytest.mark.parametrize("value", ["4111 1111 1111 1112", "DE89 3704 0044 0532 0130 02", "300.1.1.1", "2021-02-30", "000-12-3456", "12345", "v1.2.3.4"])
 def test_what_is_no_value_stays(value):
     assert pii.Pseudonyms().replace(f"x {value} y", 20) == (f"x {value} y", [])
