@@ -7,7 +7,7 @@ check digits hold. The permutation depends on key, kind and shape alone, so equa
 document and different ones stay different; reveal() inverts it with the key. As in any permutation a value may map to itself,
 with a chance of one over the size of the domain.
 
-Kinds: card (13 to 19 digits, Luhn), iban (mod 97), phone (North American, or + and 8 to 15 digits), ssn, ipv4,
+Kinds: card (13 to 19 digits, Luhn, from a digit group's start to a group's end, also beside other numbers), iban (mod 97), phone (North American, or + and 8 to 15 digits), ssn, ipv4,
 date (ISO, or day, month and year between / or .; 1900 to 2099), email (local part), secret (access-key ids,
 tokens and passwords after = or :).
 
@@ -43,7 +43,7 @@ PATTERNS = {
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\1\d{4})(?![\w/-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w)|(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])",
 }
 KINDS = tuple(PATTERNS)
 _NORTH_AMERICAN = re.compile(PATTERNS["phone"].partition(r"|(?<![\w+])\+")[0])
@@ -88,6 +88,26 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def _card_spans(run: str) -> list[tuple[int, int]]:
+    """Valid cards in a run of digit groups, from a group's start to a group's end: the usual groupings first, then the first, then the longer."""
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    options = []
+    for i, (a, _) in enumerate(groups):
+        digits, shape = "", []
+        for c, b in groups[i:]:
+            digits, shape = digits + run[c:b], [*shape, b - c]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and digits[0] in "23456" and luhn_digit(digits[:-1]) == digits[-1]:
+                usual = len(shape) == 1 or shape in ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
+                options.append((not usual, a, -b))
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(options):
+        if all(-b <= c or d <= a for c, d in out):
+            out.append((a, -b))
+    return sorted(out)
+
+
 def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
@@ -225,11 +245,19 @@ class Pseudonyms:
 
     def _card(self, text):
         digits = re.sub(r"\D", "", text)
-        if luhn_digit(digits[:-1]) != digits[-1] or not digits.strip("0") or digits[0] not in "23456":
-            return None
         body = digits[0] + str(self._number([int(digits[1:-1])], [10 ** (len(digits) - 2)], f"card{digits[0]}{len(digits)}")[0]).zfill(len(digits) - 2)
         return _fill(text, body + luhn_digit(body))
 
+    def _cards(self, run: str) -> list[tuple[int, int, str]]:
+        """(start, end, pseudonym) of the cards in a run of digit groups."""
+        spans, new = _card_spans(run), run
+        while spans:  # on among the runs whose cards are read at the same places
+            for a, b in spans:
+                new = new[:a] + self.value("card", new[a:b]) + new[b:]
+            if _card_spans(new) == spans:
+                break
+        return [(a, b, new[a:b]) for a, b in spans]
+
     def replace(self, text: str, digits: int) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and (start, end, kind) of each replaced value in the input. digits: how many digits the text has."""
         found = []
@@ -237,6 +265,9 @@ class Pseudonyms:
             if kind in _NUMERIC and digits < 4 or kind == "email" and "@" not in text or kind == "secret" and not _SECRET_CUE.search(text):
                 continue
             for m in _COMPILED[kind].finditer(text):
+                if kind == "card":
+                    found += [(m.start() + a, -m.start() - b, order, new) for a, b, new in self._cards(m[0])]
+                    continue
                 if (new := self.value(kind, m[0])) is not None:
                     found.append((m.start(), -m.end(), order, new))
         if not found:

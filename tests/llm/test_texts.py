@@ -132,6 +132,14 @@ def test_phones_of_plus_one_outside_the_north_american_form(value):
     assert pii.Pseudonyms(back=True).replace(new, 11)[0] == f"call {value} now"
 
 
+@pytest.mark.parametrize(("before", "card", "after"), [("17 ", "4242424242424242", ""), ("order 43 ", "4111 1111 1111 1111", ""), ("2024-01-05 ", "4111 1111 1111 1111", ""), ("", "4111-1111-1111-1111", " 12 2031"), ("7 ", "4242 424242424242", " 9"), *((f"{k} ", "4111 1111 1111 1111", "") for k in range(20, 60))])
+def test_cards_beside_other_numbers(before, card, after):
+    text = before + card + after
+    new, spans = pii.Pseudonyms().replace(text, 99)
+    assert (len(before), len(before) + len(card), "card") in spans and card not in new
+    assert pii.Pseudonyms(back=True).replace(new, 99)[0] == text
+
+
 @pytest.mark.parametrize("value", ["4111 1111 1111 1112", "DE89 3704 0044 0532 0130 02", "300.1.1.1", "2021-02-30", "000-12-3456", "12345", "v1.2.3.4"])
 def test_what_is_no_value_stays(value):
     assert pii.Pseudonyms().replace(f"x {value} y", 20) == (f"x {value} y", [])
