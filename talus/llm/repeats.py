@@ -1,20 +1,19 @@
-"""Removal of repeated byte strings: suffix arrays over shards by external induced sorting.
+"""Removal of repeated byte strings: external induced sorting of the windows of a corpus, in shards.
 
-A byte goes when a string of LENGTH bytes that covers it starts anywhere else too. Suffixes are sharded so that equal
-strings meet: every LENGTH-byte window has an anchor, the least of the hashes of its KMER-byte parts, and successive
-windows with one anchor form a run, whose bytes hold all of them.
+A byte goes when a string of LENGTH bytes that covers it starts anywhere else too. Windows are sharded so that equal ones
+meet: every window of LENGTH bytes has an anchor, the KMER bytes inside it with the least hash, and successive windows
+with one anchor form a run, whose bytes hold all of them.
 
 1. Runs are made from all texts; an anchor that stands once in the corpus can't repeat, so its run is dropped.
-2. Runs of equal bytes are one: if they stand more than once, all their windows repeat.
-3. Where an anchor has several different runs, the windows that only some share have to be found. The runs' bytes go to
-   shards by anchor; each shard sorts the suffixes of its bytes (suffixes.py: queues on disk, prefixes carried
-   along), and windows next to each other that share LENGTH bytes repeat.
-4. An anchor with more than HOT different runs would outgrow a shard: its windows are counted by two 64-bit hashes in
-   as many tasks as need be, which is exact likewise.
+2. Runs of equal bytes are aggregated to one with a count before their bytes are shuffled.
+3. All runs that are left are sorted by induction (suffixes.py), those that stand more than once too: every repeated
+   window comes out of a sort. A shard holds about SHARD_BYTES of runs, several times what a sort keeps in memory.
+4. An anchor with more than HOT different runs would make one shard of them all, so its runs are cut into bands of BAND
+   levels, which are dealt by the bytes that all windows of a band have in common; they are sorted like all others.
 5. Each text gets the repeated windows of its runs, and what they cover is removed.
 
-Equal bytes are told by two 64-bit hashes (anchor and run) and not compared again. A Bloom filter of fixed size keeps
-texts that can't be concerned out of the joins.
+Anchors are told apart by 64 bits, runs of one anchor by 64 bits more. A Bloom filter of fixed size keeps texts that can't be
+concerned out of the joins.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; rows that repeat a doc_id and text are copies
 like any other, so they lose all from LENGTH bytes on; rows with a null doc_id are treated alike; texts are cut at any byte,
@@ -34,8 +33,8 @@ from . import common as C
 from . import suffixes
 
 LENGTH, KMER = 200, 64
-#: Different runs of an anchor that a shard takes, and bytes of a shard.
-HOT, SHARD_BYTES = 8192, 4 << 20
+#: Bytes of runs in a shard, different runs of an anchor that aren't cut into bands, and levels of a band.
+SHARD_BYTES, HOT, BAND = 32 << 20, 8192, 17
 #: Bits of the Bloom filter (8 MB).
 BLOOM_BITS = 26
 _BYTE = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64) * C.U64(2) + C.U64(1)
@@ -44,10 +43,10 @@ _AT = C.U64((1 << 28) - 1)
 
 
 def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, kmer: int = KMER):
-    """Of each run: anchor, run hash, row, first window in the row, windows. kmer is a power of 2."""
+    """Of each run: anchor, run hash, row, first window in the row, windows, bytes from the first window to the anchor. kmer is a power of 2."""
     n, width = len(data), length - kmer + 1
     if n < length:
-        return tuple(np.zeros(0, t) for t in (C.U64, C.U64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (C.U64, C.U64, np.int64, np.int64, np.int64, np.int64))
     h, size = _BYTE[data], 1
     for k in range(kmer.bit_length() - 1):
         h = h[:-size] * C.U64(_STEP[k]) + h[size:]
@@ -73,22 +72,28 @@ def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, kmer: int = KME
     stop[:-1] &= ~valid[1:] | new[1:]
     end = np.flatnonzero(stop) + 1
     row = np.searchsorted(at, start, "right") - 1
-    return h[place[start]], C.span_hashes(data, start, end + length - 1), row, start - at[row], end - start
+    return h[place[start]], C.span_hashes(data, start, end + length - 1), row, start - at[row], end - start, place[start] - start
+
+
+#: A text: doc_id (0 for null) and a hash of doc_id and text.
+_TEXT = ["doc", "rid"]
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"))
+    doc = F.col("doc_id").cast("long")
+    return docs.select(doc.alias("doc_id"), "text", F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"))
 
 
-def all_runs(source: DataFrame, length: int) -> DataFrame:
-    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+def all_runs(source: DataFrame, length: int, kmer: int) -> DataFrame:
+    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("left", pa.int32())])
 
     def run(batches):
         for rows, data, at in C.parts(batches):
-            a, c, row, start, n = runs(data, at, length)
-            yield C.batch(schema, C.i64(a), C.i64(c), rows.column("rid").take(pa.array(row)), start, n)
+            a, c, row, start, n, left = runs(data, at, length, kmer)
+            take = pa.array(row)
+            yield C.batch(schema, C.i64(a), C.i64(c), rows.column("doc").take(take), rows.column("rid").take(take), start, n, left)
 
-    return source.where(F.octet_length("text") >= length).select("rid", "text").mapInArrow(run, "a long, c long, rid long, start int, n int")
+    return source.where(F.octet_length("text") >= length).select(*_TEXT, "text").mapInArrow(run, "a long, c long, doc long, rid long, start int, n int, left int")
 
 
 def _bloom(rids: DataFrame) -> np.ndarray:
@@ -107,89 +112,94 @@ def _maybe(bits: np.ndarray, rid: np.ndarray) -> np.ndarray:
 
 
 def _near(source: DataFrame, bits) -> DataFrame:
-    """rid and text of the rows that may be among the ids of a Bloom filter."""
+    """Key and text of the rows that may be among the ids of a Bloom filter."""
 
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(_maybe(bits.value, b.column("rid").to_numpy())))
 
-    return source.select("rid", "text").mapInArrow(run, "rid long, text string")
-
-
-def repeated_in_shard(contents: list[bytes], length: int = LENGTH, memory: int | None = None) -> list[np.ndarray]:
-    """Of each of several different byte strings: which of its windows stand elsewhere among them."""
-    at = np.r_[0, np.cumsum([len(x) + 1 for x in contents])]
-    raw = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
-    text = np.ones(at[-1] + 1, np.uint8 if raw.max() < 254 else np.uint16)  # no byte of UTF-8 is over 244
-    text[:-1] = raw.astype(text.dtype) + 2
-    text[at[1:] - 1], text[-1] = 1, 0
-    order, shared = suffixes.sort(text, 258, length, memory)
-    hit = np.zeros(len(text), bool)
-    same = np.flatnonzero(shared >= length)
-    hit[order[same]] = hit[order[same - 1]] = True
-    # a match that runs over the end of a string is none
-    return [hit[a : max(a, b - length)] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return source.select(*_TEXT, "text").mapInArrow(run, "doc long, rid long, text string")
 
 
-def _intervals(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
-    return edge[::2], edge[1::2]
-
-
-def repeated(source: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rid, spans array<struct<lo, hi>>: the byte ranges of each text that repeated windows cover."""
+def _contents(source: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+    """kinds (a, c, many, crowd, left, n and, in one, where it stands) with the bytes of each run as content."""
     spark = source.sparkSession
-    every = all_runs(source, length)
-    twice = every.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
-    found = C.cut(every.join(twice.hint("merge"), "a"))
-    kinds = C.cut(found.groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("rid", "start", "n")).alias("one")))
-    open_ = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("k").alias("least")).where("kinds > 1 and least = 1").drop("least")
-    asked = C.cut(kinds.join(open_, "a").select("a", "c", "k", "kinds", "one.*"))
-    bits = spark.sparkContext.broadcast(_bloom(asked))
-    # one row a text: which of its runs are asked for
-    wants = asked.groupBy("rid").agg(F.collect_list(F.struct("a", "c", "k", "kinds", "start", "n")).alias("runs"))
-    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("kinds", pa.int64()), ("content", pa.binary())])
+    bits = spark.sparkContext.broadcast(_bloom(kinds.select("one.rid")))
+    wants = kinds.groupBy("one.doc", "one.rid").agg(F.collect_list(F.struct("a", "c", "many", "crowd", "left", "n", F.col("one.start").alias("start"))).alias("runs"))
+    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("many", pa.bool_()), ("crowd", pa.bool_()), ("left", pa.int32()), ("n", pa.int32()), ("content", pa.binary())])
 
     def cut_out(batches):
         for b in batches:
             data, at = C.buffer(b.column("text"))
             want = b.column("runs")
             first = want.offsets.to_numpy()
-            value = want.values
-            col = {k: value.field(k).to_numpy()[first[0] : first[-1]] for k in ("a", "c", "k", "kinds", "start", "n")}
-            base = np.repeat(at[:-1], np.diff(first)) + col["start"]
-            raw = data.tobytes()
-            content = [raw[x : x + n + length - 1] for x, n in zip(base.tolist(), col["n"].tolist(), strict=True)]
-            yield C.batch(schema, col["a"], col["c"], col["k"], col["kinds"], pa.array(content, pa.binary()))
-
-    texts = wants.hint("merge").join(_near(source, bits), "rid").select("text", "runs").mapInArrow(cut_out, "a long, c long, k long, kinds long, content binary")
-    contents = C.cut(texts.dropDuplicates(["a", "c"]))
-    cool, hot = contents.where(F.col("kinds") <= HOT), contents.where(F.col("kinds") > HOT)
-    size = cool.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
-    marks = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-
-    def shard(table: pa.Table) -> pa.Table:
-        rows = np.flatnonzero(table.column("k").to_numpy() == 1)
-        out = [np.zeros(0, np.int64)] * 3
-        for i, hit in enumerate(repeated_in_shard(table.column("content").to_pylist(), length)):
-            lo, hi = _intervals(hit)
-            out = [*out, np.full(len(lo), i), lo, hi]
-        i, lo, hi = (np.concatenate(out[k::3]) for k in range(3))
-        keep = np.isin(i, rows)
-        i, lo, hi = i[keep], lo[keep], hi[keep]
-        return pa.Table.from_batches([C.batch(marks, table.column("a").to_numpy()[i], table.column("c").to_numpy()[i], lo, hi)])
-
+            col = {k: want.values.field(k).to_numpy(zero_copy_only=False)[first[0] : first[-1]] for k in ("a", "c", "many", "crowd", "left", "n", "start")}
+            begin = np.repeat(at[:-1], np.diff(first)) + col["start"]
+            for lo in range(0, len(begin), 1 << 14):
+                k = slice(lo, lo + (1 << 14))
+                size = col["n"][k].astype(np.int64) + length - 1
+                to = np.r_[0, np.cumsum(size)]
+                raw = data[np.arange(to[-1]) + np.repeat(begin[k] - to[:-1], size)]
+                content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(raw)])
+                yield C.batch(schema, *(col[x][k] for x in ("a", "c", "many", "crowd", "left", "n")), content)
+
+    # a text that stands in several rows is asked once
+    texts = wants.hint("merge").join(_near(source, bits), _TEXT).dropDuplicates(_TEXT)
+    return texts.select("text", "runs").mapInArrow(cut_out, "a long, c long, many boolean, crowd boolean, left int, n int, content binary")
+
+
+def _dealt(contents: DataFrame, length: int, kmer: int) -> DataFrame:
+    """The sorter's runs: a, c of the run, window of its level 0 (base), group, many, core, first, left, content; runs of crowded anchors in bands."""
+    first = F.col("left") - F.col("n") + 1
+    cool = contents.where("not crowd").select("a", "c", F.col("left").alias("base"), F.col("a").alias("group"), "many", F.lit(kmer).alias("core"), first.alias("first"), "left", "content")
+    levels = length - kmer + 1
+    band = contents.where("crowd").withColumn("d0", F.explode(F.sequence(F.lit(0), F.lit(levels - 1), F.lit(BAND)))).withColumn("d1", F.least(F.col("d0") + BAND, F.lit(levels)))
+    band = band.withColumn("first", first).where("first < d1 and left >= d0").withColumn("lo", F.greatest("first", "d0")).withColumn("hi", F.least("left", F.col("d1") - 1))
+    core = F.lit(length + 1) - F.col("d1") + F.col("d0")
+    common = F.substring("content", F.col("left") - F.col("d0") + 1, core)
+    part = F.substring("content", F.col("left") - F.col("hi") + 1, F.col("hi") - F.col("lo") + length)
+    hot = band.select("a", "c", (F.col("left") - F.col("d0")).alias("base"), F.xxhash64("d0", common).alias("group"), "many", core.alias("core"), (F.col("lo") - F.col("d0")).alias("first"), (F.col("hi") - F.col("d0")).alias("left"), part.alias("content"))
+    return cool.unionByName(hot)
+
+
+def sort_shard(batches, length: int, memory: int | None = None):
+    """Record batches of a, c, lo, hi (repeated windows of a run) from those of a shard of _dealt()."""
+    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    sorter = suffixes.Sorter(length, memory)
+    names = suffixes.Spool(sorter.scratch, [("a", "i8"), ("c", "i8"), ("base", "i4")])
+    for b in batches:
+        if not b.num_rows:
+            continue
+        data, at = C.buffer(b.column("content"))
+        col = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("a", "c", "base", "group", "many", "core", "first", "left")}
+        sorter.add(C.U64(0) + col["group"].view(C.U64), col["many"], col["core"], col["first"], col["left"], data, at)
+        name = np.empty(b.num_rows, names.dtype)
+        for k in names.dtype.names:
+            name[k] = col[k]
+        names.add(name)
+    name = names.array()
+    for run, lo, hi in sorter.repeats():
+        if len(run):
+            of = name[run]
+            yield C.batch(schema, of["a"], of["c"], (of["base"] - hi).astype(np.int32), (of["base"] - lo + 1).astype(np.int32))
+
+
+def repeated(source: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
+    """doc, rid, spans array<struct<lo, hi>>: the byte ranges of each text that repeated windows cover."""
+    # what goes into a join is a table, so that adaptive execution can split the join's hot keys
+    every = C.cut(all_runs(source, length, kmer))
+    twice = C.cut(every.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"))
+    found = C.cut(every.hint("merge").join(twice, "a"))
+    kinds = C.cut(found.groupBy("a", "c", "left", "n").agg((F.count("*") > 1).alias("many"), F.min(F.struct("doc", "rid", "start")).alias("one")))
+    size = kinds.agg(F.coalesce(F.sum(F.col("n") + length - 1), F.lit(0))).first()[0]
+    crowded = C.cut(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("a", F.lit(True).alias("crowd")))
+    kinds = kinds.join(crowded, "a", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     shards = max(1, -(-size // SHARD_BYTES))
-    by_sort = cool.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "a long, c long, lo int, hi int")
-    window = F.expr(f"substring(content, lo + 1, {length})")
-    each = hot.withColumn("lo", F.explode(F.sequence(F.lit(0), F.length("content") - length))).select("a", "c", "k", "lo", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2"))
-    more = each.groupBy("a", "w1", "w2").agg(F.count("*").alias("times"), F.sum("k").alias("all")).where("times > 1 or all > 1").select("a", "w1", "w2")
-    by_hash = each.where("k = 1").join(more, ["a", "w1", "w2"]).select("a", "c", "lo", (F.col("lo") + 1).alias("hi"))
-    some = by_sort.unionByName(by_hash).groupBy("a", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    whole = kinds.where("k > 1").select("a", "c", F.expr("array(struct(0 as lo, one.n as hi))").alias("marks"))
-    marked = C.cut(some.unionByName(whole))
-    ranges = found.join(marked, ["a", "c"]).select("rid", F.explode(F.transform("marks", lambda m: F.struct((F.col("start") + m["lo"]).alias("lo"), (F.col("start") + m["hi"] + length - 1).alias("hi")))).alias("r"))
-    return ranges.groupBy("rid").agg(F.collect_set("r").alias("spans"))
+    dealt = _dealt(_contents(source, kinds, length), length, kmer).repartition(shards, "group")
+    marks = dealt.mapInArrow(lambda batches: sort_shard(batches, length), "a long, c long, lo int, hi int")
+    marked = C.cut(marks.groupBy("a", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")))
+    ranges = found.hint("merge").join(marked, ["a", "c"]).select(*_TEXT, F.explode(F.transform("marks", lambda m: F.struct((F.col("start") + m["lo"]).alias("lo"), (F.col("start") + m["hi"] + length - 1).alias("hi")))).alias("r"))
+    return ranges.groupBy(*_TEXT).agg(F.collect_set("r").alias("spans"))
 
 
 def _covered(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,9 +225,9 @@ def _kept(batch: pa.RecordBatch):
         yield len(text), len(text) - len(kept), len(a), kept
 
 
-def _with_spans(source: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _with_spans(source: DataFrame, length: int, kmer: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their spans, rows without any)."""
-    found = C.cut(repeated(source, length))
+    found = C.cut(repeated(source, length, kmer))
     bits = source.sparkSession.sparkContext.broadcast(_bloom(found))
     schema = source.schema
 
@@ -226,14 +236,14 @@ def _with_spans(source: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             hit = _maybe(bits.value, b.column("rid").to_numpy())
             yield b.filter(pa.array(hit if want else ~hit))
 
-    joined = source.mapInArrow(some, schema).hint("merge").join(found, "rid", "left")
+    joined = source.mapInArrow(some, schema).hint("merge").join(found, _TEXT, "left")
     return joined, source.mapInArrow(lambda x: some(x, False), schema)
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     source = _source(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    some, rest = _with_spans(source, length)
+    some, rest = _with_spans(source, length, kmer)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):

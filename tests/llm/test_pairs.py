@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -92,21 +93,72 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard.join(none).count() == 0 and jaccard.deduplicate(none).count() == 0
 
 
-@pytest.mark.parametrize("memory", [None, 8])
-def test_suffix_sort_is_sorted(memory):
-    rng = np.random.default_rng(0)
-    for trial in range(120):
-        n, sigma, cap = int(rng.integers(0, 70)), int(rng.integers(1, 5)), int(rng.choice([3, 10, 200]))
-        text = np.r_[rng.integers(1, sigma + 1, n), 0].astype(np.uint8)
-        if trial % 4 == 0 and n > 9:
-            text[:-1] = np.resize(text[:5], n)
-        order, shared = suffixes.sort(text, sigma + 1, cap, memory)
-        plain = text.tolist()
-        assert sorted(order.tolist()) == list(range(n + 1))
-        for a, b, k in zip(order[:-1], order[1:], shared[1:], strict=True):
-            x, y = plain[a:], plain[b:]
-            assert x[:cap] <= y[:cap]
-            assert k == min(cap, next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y))))
+def some_runs(seed, length, core, many, letters, nul):
+    """(group, first, left, bytes, stands more than once) of different runs, many of which share windows."""
+    rng = np.random.default_rng(seed)
+    word = lambda n: bytes((rng.integers(0, letters, n) + (0 if nul else 98)).astype(np.uint8))
+    wide, out = length - core, {}
+    for _ in range(many):
+        left = int(rng.integers(0, wide + 1))
+        first = int(rng.integers(0, left + 1))
+        group, before, after = int(rng.integers(3)), word(left), word(wide - first)
+        if out and rng.random() < 0.6:
+            group, _, old, text, _ = list(out.values())[int(rng.integers(len(out)))]
+            before, after = (word(wide) + text[:old])[wide + old - left :], (text[old + core :] + word(wide))[: wide - first]
+        run = (group, first, left, before + bytes([97 + group]) * core + after)
+        out.setdefault(run, (*run, bool(rng.random() < 0.1)))
+    return list(out.values())
+
+
+def sorted_runs(runs, length, core, memory, parts=2):
+    s = suffixes.Sorter(length, memory)
+    for part in np.array_split(np.arange(len(runs)), min(parts, len(runs))):
+        group, first, left, text, many = zip(*(runs[k] for k in part), strict=True)
+        s.add(np.array(group, np.uint64), np.array(many), np.full(len(part), core), np.array(first), np.array(left), np.frombuffer(b"".join(text), np.uint8), np.r_[0, np.cumsum([len(t) for t in text])])
+    got = [(i, d) for run, lo, hi in s.repeats() for i, a, b in zip(run.tolist(), lo.tolist(), hi.tolist(), strict=True) for d in range(a, b + 1)]
+    assert len(got) == len(set(got))
+    return set(got), s.scratch.written
+
+
+def repeated_windows(runs, length):
+    seen = collections.Counter()
+    for group, first, left, text, many in runs:
+        for d in range(first, left + 1):
+            seen[group, d, text[left - d : left - d + length]] += 1 + many
+    return {(i, d) for i, (group, first, left, text, _) in enumerate(runs) for d in range(first, left + 1) if seen[group, d, text[left - d : left - d + length]] > 1}
+
+
+@pytest.mark.parametrize("memory", [None, 600])
+def test_induced_sort_is_brute_force(memory):
+    for seed in range(60):
+        length, core = (20, 6) if seed % 3 else (31, 1)
+        runs = some_runs(seed, length, core, 80, 2 + seed % 2, seed % 4 == 0)
+        assert sorted_runs(runs, length, core, memory)[0] == repeated_windows(runs, length)
+    assert sorted_runs(some_runs(1, 20, 6, 1, 2, False), 20, 6, memory)[0] == set()
+
+
+def test_a_shard_far_larger_than_memory_is_sorted_on_disk():
+    runs, memory = some_runs(5, 60, 20, 12_000, 2, False), 1 << 15
+    size = sum(len(r[3]) for r in runs)
+    assert size > 20 * memory
+    want, written = repeated_windows(runs, 60), sorted_runs(runs, 60, 20, 1 << 30)[1]
+    assert written == 0
+    text, at = np.frombuffer(b"".join(r[3] for r in runs), np.uint8), np.r_[0, np.cumsum([len(r[3]) for r in runs])]
+    group, first, left, many = (np.array([r[k] for r in runs], t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.int64), (4, bool)))
+    s, got = suffixes.Sorter(60, memory), set()
+    tracemalloc.start()
+    for lo in range(0, len(runs), 100):
+        k = slice(lo, lo + 100)
+        s.add(group[k], many[k], np.full(len(group[k]), 20), first[k], left[k], text, at[lo : lo + 101])
+    peak = 0
+    for run, lo, hi in s.repeats():
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        got |= {(i, d) for i, a, b in zip(run.tolist(), lo.tolist(), hi.tolist(), strict=True) for d in range(a, b + 1)}
+        tracemalloc.start()
+    tracemalloc.stop()
+    assert got == want
+    assert s.scratch.written > size and peak < 10 * memory < size / 2
 
 
 def removed(docs, length):
