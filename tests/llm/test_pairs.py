@@ -79,6 +79,31 @@ def test_jaccard_join_is_brute_force(spark, sf, monkeypatch, block):
     assert kept == {i for i in docs if root.get(i, i) == i}
 
 
+def test_no_text_is_lost_where_ids_repeat(spark):
+    one, two = (" ".join(f"{w}{k}" for k in range(30)) for w in ("one", "two"))
+    rows = [(5, "alpha beta"), (5, one), (3, one), (7, "red"), (7, two), (8, two + " more"), (7, two), (9, two), (9, "red")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(tuple(r) for r in jaccard.deduplicate(frame).collect())
+    assert kept == [(3, one), (5, "alpha beta"), (7, "red"), (7, two)]
+    got = sorted(tuple(r) for r in jaccard.join(frame).collect())
+    assert got == [(3, 3, 1), (5, 3, 1), (5, 5, 0), (7, 7, 1), (7, 7, 3), (7, 7, 3), (8, 7, 3), (9, 7, 1), (9, 7, 3)]
+
+
+def test_buckets_of_the_same_band_chain_only_verified_links(spark):
+    """A chain of texts, each alike to the next only, and texts that share some bands but aren't alike."""
+    rng, rows = random.Random(6), []
+    words = [f"w{k}" for k in range(400)]
+    for k in range(40):
+        w = list(words)
+        for j in rng.sample(range(400), 14):
+            w[j] = f"x{k}{j}"
+        rows.append((k, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    links = links_of(dict(rows))
+    degree, root = collections.Counter(x for e in links for x in e), roots(links)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(frame).collect()} == {i: (root.get(i, i), degree[i]) for i, _ in rows}
+
+
 def test_bands_reach_the_recall():
     b = jaccard.bands(0.8, 0.9999, 5)
     assert 1 - (1 - 0.8**5) ** b >= 0.9999 > 1 - (1 - 0.8**5) ** (b - 1)
