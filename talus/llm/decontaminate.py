@@ -44,6 +44,8 @@ CLASS_RATIO, PASS_BYTES = 1.25, 32 << 20
 GRAM, HITS, HIT_BYTES, BAND = 8, 6, 28, 32
 #: Bits of the table that seeds are looked up in first, and words of 64 bits in an item that is verified with others.
 SEEN_BITS, BLOCKS = 20, 16
+#: Candidates that are verified at once, and bytes of text whose candidates are collected for that.
+VERIFY_ROWS, COLLECT_BYTES = 2048, 16 << 20
 _PAIR, _PAD = C.U64(0x9E3779B97F4A7C15), C.U64(0x5851F42D4C957F2D)
 
 
@@ -116,10 +118,10 @@ class Items:
         rng = np.random.default_rng(lo)
         places = rng.integers(0, steps, (WALKS, SAMPLES, BITS))
         keys = sample_keys(h, start[members], start[members] + self.size[members], places, lo)
-        flat = keys.ravel()
+        flat = keys.T.ravel()
         order = np.argsort(flat, kind="stable")
         unique, at = np.unique(flat[order], return_index=True)
-        return {"lo": lo, "need": max(0, lo - 1 - 2 * math.floor(EDITS * hi)), "places": places, "index": C.HashIndex(unique), "at": np.r_[at, len(flat)], "item": np.repeat(members, keys.shape[1])[order]}
+        return {"lo": lo, "need": max(0, lo - 1 - 2 * math.floor(EDITS * hi)), "places": places, "index": C.HashIndex(unique), "at": np.r_[at, len(flat)], "item": np.repeat(members, len(keys))[order]}
 
     def _seeds(self):
         """The items' character n-grams with their places, and the edits that SIMILARITY allows each item."""
@@ -202,7 +204,7 @@ class Items:
                 part = start[a : a + (1 << 17)]
                 got = c["index"].find(sample_keys(h, part, row_end[part], c["places"], lo).ravel())
                 hit = np.flatnonzero(got >= 0)
-                where, got = part[hit // (WALKS * SAMPLES)], got[hit]
+                where, got = part[hit % len(part)], got[hit]
                 many = c["at"][got + 1] - c["at"][got]
                 item = c["item"][np.repeat(c["at"][got] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
                 found.append(np.unique(np.repeat(where, many).astype(np.int64) << 32 | item))
@@ -211,12 +213,32 @@ class Items:
 
     def search(self, data: np.ndarray, at: np.ndarray):
         """Verified (row, item, similarity, first word of the window in its row)."""
+        return self.search_all([(data, at)])[0]
+
+    def search_all(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple]]:
+        """search() of each part; the candidates of all of them are verified together."""
+        texts, found, begin = [], [], 0
+        for n, (data, at) in enumerate(parts):
+            text, rows = self.parts_of(data, at)
+            texts.append(text)
+            found += [(n, r, i, begin + lo, begin + hi, start) for r, i, lo, hi, start in rows]
+            begin += len(text)
+        out: list[dict[tuple[int, int], tuple[float, int]]] = [{} for _ in parts]
+        text = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+        for (n, r, i, _, _, start), distance in zip(found, self.distances(text, [x[1:] for x in found]).tolist(), strict=True):
+            likeness = 1 - distance / len(self.text[i])
+            if likeness >= SIMILARITY and likeness > out[n].get((r, i), (0, 0))[0]:
+                out[n][r, i] = (likeness, start)
+        return [[(r, i, *v) for (r, i), v in sorted(x.items())] for x in out]
+
+    def parts_of(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """The plain text, and the candidates of both sources as (row, item, lo, hi, first word of the window)."""
         data, s, e, first, h = tokens(data, at)
+        found: list[tuple] = []
         if not len(h) or not self.ids:
-            return []
+            return np.zeros(0, np.uint8), found
         text, word_at = plain(data, s, e)
         row_at = word_at[first]
-        found = []
         where, item = self.candidates(h, first)
         if len(where):
             row = np.searchsorted(first, where, "right") - 1
@@ -225,20 +247,15 @@ class Items:
             new = np.ones(len(where), bool)
             new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (where[1:] - where[:-1] > self.size[item[1:]])
             begin = np.flatnonzero(new)
-            for a, b in zip(begin, np.r_[begin[1:], len(where)], strict=True):
-                r, i = int(row[a]), int(item[a])
-                margin = math.ceil(EDITS * self.size[i]) + 1
-                lo, hi = max(first[r], where[a] - margin), min(first[r + 1], where[b - 1] + self.size[i] + margin)
-                found.append((r, i, int(word_at[lo]), int(word_at[hi]) - 1, int(where[a] - first[r])))
+            end = np.r_[begin[1:], len(where)] - 1
+            row, item, margin = row[begin], item[begin], np.ceil(EDITS * self.size[item[begin]]).astype(np.int64) + 1
+            lo = np.maximum(first[row], where[begin] - margin)
+            hi = np.minimum(first[row + 1], where[end] + self.size[item] + margin)
+            found = list(zip(row.tolist(), item.tolist(), word_at[lo].tolist(), (word_at[hi] - 1).tolist(), (where[begin] - first[row]).tolist(), strict=True))
         for r, i, lo, hi, start in zip(*(x.tolist() for x in self.near(text, row_at)), strict=True):
             word = int(np.searchsorted(word_at, max(start, lo), "right")) - 1
             found.append((r, i, lo, hi, max(0, word - int(first[r]))))
-        out: dict[tuple[int, int], tuple[float, int]] = {}
-        for (r, i, _, _, start), distance in zip(found, self.distances(text, found), strict=True):
-            likeness = 1 - distance / len(self.text[i])
-            if likeness >= SIMILARITY and likeness > out.get((r, i), (0, 0))[0]:
-                out[r, i] = (likeness, start)
-        return [(r, i, *v) for (r, i), v in sorted(out.items())]
+        return text, found
 
     def distances(self, text: np.ndarray, found: list[tuple]) -> np.ndarray:
         """edit_distance_within() of each (row, item, lo, hi, start), for many at once: 64 rows of the bit vectors a word."""
@@ -258,10 +275,14 @@ class Items:
         part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         order, step, over = (np.repeat(x, many) for x in (order, step, over))
         lo, hi = lo[order] + part * step, np.minimum(hi[order], lo[order] + (part + 1) * step + over)
-        owner, item, blocks, order = order, item[order], blocks[order], np.lexsort((hi - lo, blocks[order]))
+        owner, item, blocks = order, item[order], blocks[order]
+        order = np.lexsort((hi - lo, blocks))
         out[owner] = np.iinfo(np.int64).max
-        for a in range(0, len(order), 2048):
-            k = order[a : a + 2048]
+        # candidates of one number of words and about one length share a batch
+        edge = np.flatnonzero(np.diff(blocks[order])) + 1 if len(order) else np.zeros(0, np.int64)
+        cuts = np.unique(np.concatenate([np.arange(0, len(order), VERIFY_ROWS), edge]))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            k = order[a:b]
             used, at = np.unique(item[k], return_inverse=True)
             wide = int(blocks[k].max())
             match = np.zeros((wide, len(used), 256), C.U64)
@@ -279,10 +300,13 @@ def _distances(match, at, length, text, lo, hi) -> np.ndarray:
     plus, minus = np.full((wide, n), ~C.U64(0)), np.zeros((wide, n), C.U64)
     score, best = length.copy(), length.copy()
     bit, ends = ((length - 1) % 64).astype(C.U64), [np.flatnonzero((length - 1) // 64 == w) for w in range(wide)]
-    for t in range(int((hi - lo).max(initial=0))):
-        # past its end a text goes on with a byte of no item, which never makes a distance less
-        c = np.where(lo + t < hi, text[np.minimum(lo + t, len(text) - 1)], 0)
-        cell = at * 256 + c
+    base, longest = at * 256, int((hi - lo).max(initial=0))
+    for t in range(longest):
+        if t % 64 == 0:
+            # past its end a text goes on with a byte of no item, which never makes a distance less
+            place = lo + np.arange(t, min(t + 64, longest))[:, None]
+            letters = np.where(place < hi, text[np.minimum(place, len(text) - 1)], 0)
+        cell = base + letters[t % 64]
         up_in = down_in = np.zeros(n, C.U64)
         for w in range(wide):
             p, m, eq = plus[w], minus[w], match[w].take(cell)
@@ -322,23 +346,26 @@ def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sample_keys(h: np.ndarray, start: np.ndarray, end: np.ndarray, places: np.ndarray, salt: int) -> np.ndarray:
-    """(windows, walks * samples): a hash of the symbols at each sample's coordinates of each walk's embedding."""
+    """(walks * samples, windows): a hash of the symbols at each sample's coordinates of each walk's embedding."""
     walks, samples, _ = places.shape
-    out = np.zeros((len(start), walks, samples), C.U64)
+    out = np.zeros((walks, samples, len(start)), C.U64)
+    rng = np.random.default_rng((salt, 7))
     for w in range(walks):
         at = start.astype(np.int64)
         uses: dict[int, list[tuple[int, int]]] = {}
         for k in range(samples):
             for b, j in enumerate(places[w, k]):
                 uses.setdefault(int(j), []).append((k, b))
-        for j in range(max(uses) + 1):
+        steps = max(uses) + 1
+        # the random bit of (step, word): the parity of the bits of the word's hash that the step picks
+        masks = rng.integers(0, 1 << 64, steps, dtype=np.uint64)
+        for j in range(steps):
             symbol = np.where(at < end, h[np.minimum(at, len(h) - 1)], _PAD)
             for k, b in uses.get(j, ()):
-                out[:, w, k] += symbol * C.U64(2 * b + 3) + C.U64(b)
-            step = C.mix(symbol ^ C.U64(((salt << 20) + (w << 12) + j) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            at += (step & C.U64(1)).astype(np.int64)
-        out[:, w] = C.mix(out[:, w] ^ C.mix(np.arange(w * samples, (w + 1) * samples, dtype=np.uint64) + C.U64(salt << 32)))
-    return out.reshape(len(start), -1)
+                out[w, k] += symbol * C.U64(2 * b + 3) + C.U64(b)
+            at += np.bitwise_count(symbol & masks[j]) & np.uint8(1)
+        out[w] = C.mix(out[w] ^ C.mix(np.arange(w * samples, (w + 1) * samples, dtype=np.uint64) + C.U64(salt << 32))[:, None])
+    return out.reshape(walks * samples, -1)
 
 
 def passes(benchmark: DataFrame) -> list[tuple[list[int], list[str]]]:
@@ -353,6 +380,22 @@ def passes(benchmark: DataFrame) -> list[tuple[list[int], list[str]]]:
     return out
 
 
+def _searched(items: Items, batches):
+    """(rows, what search() finds in them) for slices of the batches."""
+    held: list[tuple] = []
+
+    def verified():
+        for (rows, _, _), hits in zip(held, items.search_all([x[1:] for x in held]), strict=True):
+            yield rows, hits
+
+    for part in C.parts(batches):
+        held.append(part)
+        if sum(len(x[1]) for x in held) > COLLECT_BYTES:
+            yield from verified()
+            held = []
+    yield from verified()
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start_word of each item that a row holds."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64())])
@@ -362,8 +405,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, ids=ids, texts=texts):
             items = Items(ids, texts)
-            for rows, data, at in C.parts(batches):
-                if hits := items.search(data, at):
+            for rows, hits in _searched(items, batches):
+                if hits:
                     r, i, likeness, start = zip(*hits, strict=True)
                     yield C.batch(schema, rows.column("doc_id").take(pa.array(r)), [items.ids[k] for k in i], list(likeness), list(start))
 
@@ -378,9 +421,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, ids=ids, texts=texts):
             items = Items(ids, texts)
-            for rows, data, at in C.parts(batches):
+            for rows, hits in _searched(items, batches):
                 keep = np.ones(rows.num_rows, bool)
-                keep[[r for r, *_ in items.search(data, at)]] = False
+                keep[[r for r, *_ in hits]] = False
                 yield rows.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -276,6 +276,42 @@ def test_decontamination_finds_items_with_a_letter_changed_in_many_words(spark,
     assert len(alike) > 150 and sum((r, k) in got for r, k in enumerate(alike)) / len(alike) >= recall
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_decontamination_recall_over_random_edits(spark, share):
+    """Letters changed, left out and put in at random places, up to the fifth that the definition admits."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    rng, index = random.Random(11), D.Items([k for k, _ in items], [x for _, x in items])
+    host = [t for t in texts(spark, "/root/testdata/sf0.01").values() if len(t) > 1500]
+    alike, rows = [], []
+    for n, (k, x) in enumerate(items):
+        out = list(x)
+        for at in rng.sample(range(len(out)), int(share * len(out))):
+            out[at] = rng.choice([rng.choice("abcdefghijklmnopqrstuvwxyz"), "", out[at] + rng.choice("abcdefghijklmnopqrstuvwxyz")])
+        text = f"{host[n % len(host)][:700]} {''.join(out)} {host[n % len(host)][700:1400]}"
+        alike.append(k)
+        rows.append(text)
+    data = C.buffer(pa.array(rows))
+    text, s, e, first, _ = D.tokens(*data)
+    plain, word_at = D.plain(text, s, e)
+    place = {k: n for n, k in enumerate(index.ids)}
+    every = [(r, place[k], int(word_at[first[r]]), int(word_at[first[r + 1]]) - 1, 0) for r, k in enumerate(alike)]
+    true = [x for x, d in zip(every, index.distances(plain, every).tolist(), strict=True) if d <= 0.2 * len(index.text[x[1]])]
+    got = {(r, i) for r, i, *_ in index.search(*data)}
+    assert len(true) >= 150 and sum(x[:2] in got for x in true) / len(true) >= 0.95
+
+
+def test_decontamination_is_the_exhaustive_search(spark, sf):
+    """Every item against the whole of every document."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    index, docs = D.Items([k for k, _ in items], [x for _, x in items]), texts(spark, sf)
+    text, s, e, first, _ = D.tokens(*C.buffer(pa.array(list(docs.values()))))
+    plain, word_at = D.plain(text, s, e)
+    every = [(r, i, int(word_at[first[r]]), int(word_at[first[r + 1]]) - 1, 0) for r in range(len(docs)) for i in range(len(index.ids)) if first[r + 1] > first[r]]
+    near = {(list(docs)[r], index.ids[i]) for (r, i, *_), d in zip(every, index.distances(plain, every).tolist(), strict=True) if 1 - d / len(index.text[i]) >= 0.8}
+    got = {(r.doc_id, r.item_id) for r in D.op1_decontamination(spark, sf).collect()}
+    assert near and got == near
+
+
 def test_decontamination_distances_are_the_single_ones(spark, sf, monkeypatch):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     index = D.Items([k for k, _ in items], [x for _, x in items])
