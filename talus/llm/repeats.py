@@ -34,7 +34,7 @@ from . import suffixes
 
 LENGTH, KMER = 200, 64
 #: Bytes of runs in a shard, different runs of an anchor that aren't cut into bands, and levels of a band.
-SHARD_BYTES, HOT, BAND = 32 << 20, 8192, 17
+SHARD_BYTES, HOT, BAND = 16 << 20, 2048, 17
 #: Bits of the Bloom filter (8 MB).
 BLOOM_BITS = 26
 _BYTE = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64) * C.U64(2) + C.U64(1)

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes that each of a shard's queues and arrays may take in memory.
-MEMORY = 2 << 20
+MEMORY = 1 << 20
 WORD = 8
 #: group: name of the core, from level 0 on its number in the order; size: bytes after the core; first, left: the levels of
 #: the run's windows; open: the level where the repeats that are not yet given out begin, or -1.
