@@ -7,6 +7,10 @@ costs the least score less 10 and becomes byte pieces (or the unknown piece). Ma
 character at a time, in numpy; no piece has a space after another character, so words are independent, and the
 ids of words seen lately are kept in a cache of bounded size.
 
+The model writes a space as U+2581, so that a text's own U+2581 goes into byte pieces and comes back as it was (a model without
+byte pieces gives the unknown piece for it, and text_ok is false). A model that has a piece with a space after another
+character is refused: its words would not be independent.
+
 Defined cases: null text gives null ids, n_tokens 0 and null decoded text; empty text gives no ids; rows with a
 null doc_id and repeated rows are encoded like any other; extra columns are ignored; very long texts and words
 are encoded whole.
@@ -26,6 +30,8 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Stands for the text's own SPACE; no valid text holds a lone surrogate.
+OWN = "\ud800"
 #: Words that the cache of a worker keeps; it starts again when full.
 CACHE_WORDS = 400_000
 #: Characters of words that numpy works on at once.
@@ -45,6 +51,8 @@ def load(path: str = MODEL) -> dict:
 
 def automaton(pieces: list[str], scores: np.ndarray, kinds: np.ndarray, unk: int) -> dict:
     """Trie edges by (node, character), failure and output links, and the piece that ends at each node."""
+    if any(SPACE in x.lstrip(SPACE) for x, kind in zip(pieces, kinds, strict=True) if not kind):
+        raise ValueError("a piece has a space after another character")
     edges: dict[tuple[int, int], int] = {}
     depth, piece = [0], [-1]
     for i, text in enumerate(pieces):
@@ -104,7 +112,7 @@ class Codec:
     def viterbi(self, texts: list[str]) -> list[np.ndarray | bytes]:
         """Packed ids of each text; texts are of similar length."""
         m = self.m
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         size = np.array([len(t) for t in texts])
         order = np.argsort(-size, kind="stable")
         size = size[order]
@@ -155,7 +163,7 @@ class Codec:
         if (ids < 0).any():
             many = np.ones(len(ids), np.int64)
             lost = np.flatnonzero(ids < 0)
-            raw = [chr(int(points[w])).encode("utf-8", "replace") for w in where[lost]]
+            raw = [(SPACE if points[w] == ord(OWN) else chr(int(points[w]))).encode("utf-8", "replace") for w in where[lost]]
             many[lost] = [len(x) for x in raw]
             ends = np.cumsum(many)
             ids, owner = np.repeat(ids, many), np.repeat(owner, many)
@@ -182,7 +190,7 @@ class Codec:
 
     def split(self, text: str) -> list[str]:
         """Words without the first of the spaces before each; a space is put before the text."""
-        text = text.replace(SPACE, " ")
+        text = text.replace(SPACE, OWN)
         return text.split(" ") if "  " not in text and text[:1] != " " else [x[1:] for x in _RUNS.findall(" " + text)]
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
