@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 import numpy as np
@@ -31,8 +32,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/talus-checkpoints").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset and the master is local (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (found or "file:/tmp/talus-checkpoints").rstrip("/")
 
 
 _written: list[tuple[SparkSession, str]] = []
