@@ -8,7 +8,7 @@ most letters in its spans.
 
 Defined cases: null text and text without a letter give `und` with score 0; rows with a null doc_id are labelled
 but not learned from; repeated rows count and are returned as often as they stand; with nothing learned every
-text is `und`; ties go to the language that sorts first; extra columns are ignored.
+text is `und`; ties go to the language that sorts first; extra columns are ignored. There may be any number of languages.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from . import common as C
 BINS = 1 << 15
 #: Nats that a change of language between two words costs, and the share of its letters that makes a language a candidate for a script.
 SWITCH, SCRIPT_SHARE = 12.0, 0.005
-IMPOSSIBLE = -60.0
+#: Score that leaves a language out, and numbers that word scores take at a time (more languages mean fewer bytes and words at once).
+IMPOSSIBLE, WORK = -1e9, 1 << 24
 
 # First code points of script ranges (letters up to the next entry are of that script).
 SCRIPTS = (
@@ -114,7 +115,15 @@ def word_scores(model: dict, data: np.ndarray, at: np.ndarray):
     if not len(s):
         return np.zeros((0, len(model["langs"])), np.float32), np.zeros(0, np.int64), first
     letters = np.add.reduceat((script >= 0).astype(np.uint8), s, dtype=np.int64)
-    score = np.add.reduceat(np.where(C.WORDY[data][:, None], model["logp"][trigrams(data)], np.float32(0)), s, axis=0)
+    bins, wordy = trigrams(data), C.WORDY[data]
+    score = np.empty((len(s), len(model["langs"])), np.float32)
+    step, a = max(1, WORK // len(model["langs"])), 0
+    while a < len(s):
+        b = max(a + 1, int(np.searchsorted(s, s[a] + step)))
+        lo, hi = s[a], s[b] if b < len(s) else len(data)
+        # what stands between words adds nothing
+        score[a:b] = np.add.reduceat(np.where(wordy[lo:hi, None], model["logp"][bins[lo:hi]], np.float32(0)), s[a:b] - lo, axis=0)
+        a = b
     main = np.maximum.reduceat(script, s)
     score += np.where(model["able"][main], np.float32(0), np.float32(IMPOSSIBLE))
     has = letters > 0
@@ -126,13 +135,12 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     start, size = first[:-1][order], n[order]
-    label = np.zeros(len(score), np.int8)
+    label = np.zeros(len(score), np.int32)
     if not len(score):
         return label
     active = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # rows with more than t words
-    switched = np.zeros(len(score), np.uint16 if score.shape[1] <= 16 else np.uint64)  # bit l: the best way to l came from another language
-    came = np.zeros(len(score), np.int8)  # from which
-    bit = np.left_shift(1, np.arange(score.shape[1])).astype(switched.dtype)
+    switched = np.zeros((len(score), -(-score.shape[1] // 8)), np.uint8)  # bit l: the best way to l came from another language
+    came = np.zeros(len(score), np.int32)  # from which
     best = score[start[: active[0]]].astype(np.float32)
     for t in range(1, size[0]):
         k = active[t]
@@ -142,7 +150,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.
         top = np.take_along_axis(best, lead[:, None], 1) - np.float32(switch)
         moved = top > best
         best = np.where(moved, top, best) + score[at]
-        switched[at] = moved @ bit
+        switched[at] = np.packbits(moved, axis=1)
         came[at] = lead
         if t % 64 == 0:
             best -= best.max(1, keepdims=True)
@@ -153,14 +161,14 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.
         k = active[t]
         at = start[:k] + t
         label[at] = now[:k]
-        turn = (switched[at] >> now[:k].astype(switched.dtype)) & switched.dtype.type(1) > 0
+        turn = (switched[at, now[:k] >> 3] >> (7 - (now[:k] & 7)).astype(np.uint8)) & 1 > 0
         now[:k] = np.where(turn, came[at], now[:k])
     return label
 
 
 def _final(score, start, size, active, switch):
     """The best last label of each row."""
-    out = np.zeros(len(size), np.int8)
+    out = np.zeros(len(size), np.int32)
     best = score[start[: active[0]]].astype(np.float32)
     for t in range(1, size[0] + 1):
         k = active[t] if t < size[0] else 0
@@ -185,7 +193,7 @@ def label_spans(model: dict, batch, column: str = "text"):
         letters.append(n)
     first = np.concatenate(firsts)
     if not score:
-        return np.zeros(0, np.int8), np.zeros(0, np.int64), first
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), first
     return viterbi(np.concatenate(score), first), np.concatenate(letters), first
 
 
@@ -195,8 +203,9 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     names = np.array([*model["langs"], "und"], object)
 
     def run(batches):
-        for b in batches:
-            n, k = b.num_rows, len(model["langs"])
+        k = len(model["langs"])
+        for b, _, _ in C.parts(batches, limit=max(C.SLICE_BYTES, 8 * WORK // max(1, k))):
+            n = b.num_rows
             pred, share, turns = np.full(n, k), np.zeros(n), np.zeros(n, np.int64)
             if k:
                 label, letters, first = label_spans(model, b)
