@@ -6,7 +6,7 @@ factors are used for every document: the score is the logistic of the difference
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score; rows with a null
 doc_id are scored, and labels with a null doc_id or quality are ignored; repeated rows count and are returned as
-often as they stand; with no label of one class every score is the smoothed share of class 1; extra columns of
+often as they stand; with no label of one class every score is the smoothed share of class 1, and keep() keeps all rows; extra columns of
 the input are left out of the result of score() and kept by keep().
 """
 
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from . import common as C
 
@@ -155,15 +156,25 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, thres
 
 
 def keep(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, without the rows whose text scores under threshold."""
-    feats = C.cut(features(docs))
-    model = fit(feats, labels.where(~C.held_out("doc_id", mod, rest)))
+    """docs, all columns, without the rows whose text scores under threshold; all rows where the labels have one class only."""
 
-    def run(batches):
+    def measured(batches):
         for rows, data, at in C.parts(batches):
-            yield rows.filter(pa.array(posterior(model, statistics(data, at).astype(float)) >= threshold))
+            f = statistics(data, at)
+            column = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * D), pa.array(f.ravel()))
+            yield rows.append_column("__statistics", column)
+
+    known = C.cut(docs.mapInArrow(measured, StructType([*docs.schema.fields, StructField("__statistics", ArrayType(FloatType()))])))
+    model = fit(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__statistics").alias("f")), labels.where(~C.held_out("doc_id", mod, rest)))
+    if model["classes"] is None:
+        return known.drop("__statistics")
+
+    def run(batches):
+        for b in batches:
+            x = b.column("__statistics").flatten().to_numpy(zero_copy_only=False).reshape(-1, D).astype(float)
+            yield b.drop_columns(["__statistics"]).filter(pa.array(posterior(model, x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return known.mapInArrow(run, docs.schema)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
