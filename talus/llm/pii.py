@@ -7,9 +7,15 @@ check digits hold. The permutation depends on key, kind and shape alone, so equa
 document and different ones stay different; reveal() inverts it with the key. As in any permutation a value may map to itself,
 with a chance of one over the size of the domain.
 
-Kinds: card (13 to 19 digits, Luhn, from a digit group's start to a group's end, also beside other numbers), iban (mod 97), phone (North American, or + and 8 to 15 digits), ssn, ipv4,
-date (ISO, or day, month and year between / or .; 1900 to 2099), email (local part), secret (access-key ids,
-tokens and passwords after = or :).
+Kinds: card (13 to 19 digits, Luhn, from a digit group's start to a group's end, also beside other numbers), iban (mod 97,
+also before other words), phone (North American with separators, or + or 00 and 8 to 15 digits), ssn, ipv4, date (ISO, also before
+a time, or day, month and year between / or .; 1900 to 2099), email (local part), secret (access-key ids, tokens with a
+known prefix, tokens and passwords after = or :). Ten digits without a separator, a prefix or a cue are no phone: most are other numbers.
+
+Values are linked within a format: a.b@x.com and A.B@x.com, or one date written two ways, have pseudonyms of their own.
+
+The key is an argument; where none is given it is the session's setting `spark.talus.pii.key`, and where that is unset a
+random one that lasts as long as the session, so that pseudonyms link within a run but nobody can invert them later.
 
 Defined cases: null and empty texts stay as they are; numbers that no validation accepts stay; where matches of
 two kinds overlap, the one that starts first, then the longer, then the first kind of the list counts; rows with
@@ -23,6 +29,7 @@ import datetime
 import functools
 import hashlib
 import re
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +38,26 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-KEY = b"talus-demo-key"
+KEY_SETTING = "spark.talus.pii.key"
 ROUNDS = 10
 
 # What each kind looks like before validation.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_-])(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|npm_|hf_|AIza)[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])|(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{8,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\1\d{4})(?![\w/-])",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\1\d{4})(?![\w/-])|(?<![\w/.-])\d{4}-\d{2}-\d{2}(?=T\d\d:)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w)|(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w)|(?<![\w+])(?:\+|(?<!\d[ -])00)[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])",
 }
 KINDS = tuple(PATTERNS)
-_NORTH_AMERICAN = re.compile(PATTERNS["phone"].partition(r"|(?<![\w+])\+")[0])
+_NORTH_AMERICAN = re.compile(PATTERNS["phone"].partition(r"|(?<![\w+])(?:\+")[0])
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 _NUMERIC = tuple(k for k in KINDS if k not in ("email", "secret"))
-_SECRET_CUE = re.compile(r"AKIA|ASIA|(?i:passw|pwd|token|secret|api_?key)")
+_SECRET_CUE = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|npm_|hf_|AIza|(?i:passw|pwd|token|secret|api_?key)")
+_PREFIX = re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|npm_|hf_|AIza)(?=[A-Za-z0-9_-]{16,}\Z)")
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() - datetime.date(1900, 1, 1).toordinal() + 1
 
 
@@ -144,7 +152,7 @@ def _classes(text: str) -> list[tuple[int, int]]:
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = KEY, back: bool = False):
+    def __init__(self, key: bytes, back: bool = False):
         self.feistel, self.back = Feistel(key), back
         self.value = functools.lru_cache(20_000)(self._value)
 
@@ -175,6 +183,8 @@ class Pseudonyms:
     def _secret(self, text):
         if text[:4] in ("AKIA", "ASIA") and len(text) == 20 and text.isalnum():
             return text[:4] + self._text(text[4:], "key")
+        if prefix := _PREFIX.match(text):
+            return prefix[0] + self._text(text[prefix.end() :], "token") if re.search(r"\d", text[prefix.end() :]) else None
         value = re.search(r"[A-Za-z0-9+/_-]{8,}\Z", text)[0]
         cue = text[: len(text) - len(value)]
         return cue + self._text(value, "secret") if re.search(r"\d", value) or cue[-1:] in "\"'" else None
@@ -187,6 +197,11 @@ class Pseudonyms:
         new = iter(f"{plain[:2]}{98 - _mod97(body + plain[:2] + '00'):02d}{body}")
         return "".join(c if c == " " else next(new) for c in text)
 
+    def _ibans(self, run: str) -> list[tuple[int, int, str]]:
+        """(start, end, pseudonym) of the IBAN at the start of a run, up to the last end of a group where it is valid."""
+        ends = [k for k in range(len(run), 14, -1) if k == len(run) or run[k] == " "]
+        return next(([(0, k, new)] for k in ends if (new := self.value("iban", run[:k])) is not None), [])
+
     def _ipv4(self, text):
         octets = text.split(".")
         if any(int(x) > 255 or len(x) > 1 and x[0] == "0" for x in octets):
@@ -230,6 +245,9 @@ class Pseudonyms:
 
     def _phone(self, text):
         digits = re.sub(r"\D", "", text)
+        if text[:2] == "00" and digits[2:]:  # read as + and the rest
+            new = self._phone("+" + text[2:])
+            return new and "00" + new[1:]
         if _NORTH_AMERICAN.fullmatch(text):
             ten = digits[-10:]
             new = self._number([int(ten[0]) - 2, int(ten[1:3]), int(ten[3]) - 2, int(ten[4:])], [8, 100, 8, 10**6], "nanp")
@@ -265,8 +283,8 @@ class Pseudonyms:
             if kind in _NUMERIC and digits < 4 or kind == "email" and "@" not in text or kind == "secret" and not _SECRET_CUE.search(text):
                 continue
             for m in _COMPILED[kind].finditer(text):
-                if kind == "card":
-                    found += [(m.start() + a, -m.start() - b, order, new) for a, b, new in self._cards(m[0])]
+                if kind in ("card", "iban"):
+                    found += [(m.start() + a, -m.start() - b, order, new) for a, b, new in getattr(self, f"_{kind}s")(m[0])]
                     continue
                 if (new := self.value(kind, m[0])) is not None:
                     found.append((m.start(), -m.end(), order, new))
@@ -305,8 +323,18 @@ def _rewrite(batch: pa.RecordBatch, p: Pseudonyms) -> tuple[pa.Array, list[int],
     return pa.array(out, batch.schema.field("text").type), n, kinds
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+_session_keys: dict[str, bytes] = {}
+
+
+def key_of(spark) -> bytes:
+    """The session's key: its setting, or a random one for as long as the application runs."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return found.encode() if found else _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def pseudonymize(docs: DataFrame, key: bytes | None = None, back: bool = False) -> DataFrame:
     """docs, all columns, with pseudonyms in text (back: with the originals again)."""
+    key = key or key_of(docs.sparkSession)
 
     def run(batches):
         p = Pseudonyms(key, back)
@@ -318,12 +346,13 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataF
     return docs.mapInArrow(run, docs.schema)
 
 
-def reveal(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def reveal(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     return pseudonymize(docs, key, back=True)
 
 
-def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def report(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, text with pseudonyms, n_pii and the kinds found, of each row."""
+    key = key or key_of(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_pii", pa.int64()), ("kinds", pa.string())])
 
     def run(batches):
