@@ -4,15 +4,19 @@ A code is cut into segments of SEGMENT bits, and each block of the index keeps,
 the segment's value. A query looks up all values within radius 0 of its segments, then 1, 2, ...; after radius r in
 the first j segments and r - 1 in the rest, every code within distance m r + j - 1 (m segments, r from 0) has been
 seen and verified. The search of a query ends when its kth verified distance is no larger than that, which proves
-the result, ties included. The index is dealt into blocks of rows and the queries into blocks too; each pair of
-blocks is one task, and the k best of each are merged.
+the result, ties included. Segments in which all codes of a block agree are not searched: what a query differs there is a part of
+every distance, and is added to the bound.
+
+The index is dealt into blocks. The rows of a block and, after them, all queries come to one task, which builds the tables once and
+answers the queries as they stream by; the k best of each block are merged. Candidates are verified BATCH at a time, however many
+codes share a segment's value.
 
 Equal codes of a block share one entry, of which the k + 1 least ids are kept: no more of them can be among the k
 nearest (ties by id), so a hot code costs no more than any other.
 
 Defined cases: rows with a null id, a null vector or a null element are neither index nor query; vectors shorter than the longest
-count as 0 there; a query never finds the row with its own id; rows that repeat an id count once, the least code wins; fewer than k other rows
-give fewer results; an empty table gives none; extra columns are ignored.
+count as 0 there, empty ones are 0 all over; a query never finds the row with its own id; rows that repeat an id count once, the
+least code wins; fewer than k other rows give fewer results; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K, SEGMENT, QUERY_STEP = 10, 16, 20
-#: Codes in a block of the index and queries in a block, at most; there are TASKS query blocks at least, for work on all cores.
-INDEX_ROWS, QUERY_ROWS, TASKS = 500_000, 20_000, 32
+#: Codes in a block of the index, at most; smaller blocks of LEAST_ROWS at least where that gives work to up to TASKS tasks.
+INDEX_ROWS, LEAST_ROWS, TASKS = 500_000, 5_000, 32
 #: Candidates that are verified at once.
 BATCH = 1 << 20
 
@@ -59,6 +63,11 @@ class MultiIndex:
         self.first = np.r_[0, np.cumsum(size)]
         self.ids = ids[np.repeat(start, size) + np.arange(self.first[-1]) - np.repeat(self.first[:-1], size)]
         self.parts = self.code.view(np.uint16).reshape(len(self.code), -1) if len(code) else np.zeros((0, 4), np.uint16)
+        same = (self.parts == self.parts[:1]).all(0)
+        if same.all():
+            same[0] = False
+        self.same, self.common = same, self.parts[0, same] if len(code) else np.zeros(0, np.uint16)
+        self.parts = np.ascontiguousarray(self.parts[:, ~same])
         self.order = [np.argsort(p, kind="stable").astype(np.int32) for p in self.parts.T]
         self.at = [np.r_[0, np.cumsum(np.bincount(p, minlength=1 << SEGMENT))].astype(np.int64) for p in self.parts.T]
 
@@ -70,6 +79,8 @@ class MultiIndex:
         """(query row, id, distance) of the k nearest other ids of each query, by distance and id."""
         m = self.parts.shape[1]
         parts = code.view(np.uint16).reshape(len(code), -1)
+        always = np.bitwise_count(parts[:, self.same] ^ self.common).sum(1, dtype=np.int64)  # of every distance
+        parts = parts[:, ~self.same]
         best = [np.zeros(0, np.int64) for _ in range(3)]
         active = np.arange(len(code)) if len(self.code) else np.zeros(0, np.int64)
         for radius in range(SEGMENT + 1):
@@ -83,20 +94,22 @@ class MultiIndex:
                 count = np.bincount(best[0], minlength=len(code))
                 last = np.zeros(len(code), np.int64)
                 np.maximum.at(last, best[0], best[2])
-                done = (count >= self.k) & (last <= m * radius + j)
+                done = (count >= self.k) & (last <= always + m * radius + j)
                 active = active[~done[active]]
                 if not len(active):
                     return tuple(best)
         return tuple(best)
 
     def _probe(self, rows, values, j, ids, code):
-        start = self.at[j][values]
-        many = (self.at[j][values.astype(np.int64) + 1] - start).ravel()
-        owner = np.repeat(np.repeat(rows, values.shape[1]), many)
-        place = np.repeat(start.ravel() - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(len(owner))
-        for lo in range(0, len(owner), BATCH):
-            own = owner[lo : lo + BATCH]
-            entry = self.order[j][place[lo : lo + BATCH]]
+        start = self.at[j][values].ravel()
+        many = self.at[j][values.ravel().astype(np.int64) + 1] - start
+        some = np.flatnonzero(many)
+        start, ends, owners = start[some], np.cumsum(many[some]), np.repeat(rows, values.shape[1])[some]
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, BATCH):
+            at = np.arange(lo, min(lo + BATCH, int(ends[-1])))
+            cell = np.searchsorted(ends, at, "right")
+            own = owners[cell]
+            entry = self.order[j][start[cell] + at - (ends[cell] - many[some][cell])]
             far = np.bitwise_count(self.code[entry] ^ code[own]).sum(1, dtype=np.int64)
             size = self.first[entry + 1] - self.first[entry]
             o, f = np.repeat(own, size), np.repeat(far, size)
@@ -117,29 +130,42 @@ class MultiIndex:
         return [q[keep], i[keep], f[keep]]
 
 
+def _arrays(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    n = table.num_rows
+    code = table.column("code").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1) if n else np.zeros((0, 1), np.uint64)
+    return table.column("id").to_numpy(), np.ascontiguousarray(code)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, neighbor_id, distance, rank of the k nearest index rows of each query; both are (id, code)."""
     index, queries = C.cut(index), C.cut(queries)
-    blocks = max(1, -(-index.count() // INDEX_ROWS))
-    asked = max(TASKS, -(-queries.count() // QUERY_ROWS))
-    # every query meets every block of the index: a block pair is a task
-    left = index.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("y"), "id", "code")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"), F.pmod(F.xxhash64("id"), F.lit(asked)).alias("y"), "id", "code")
+    n = index.count()
+    blocks = max(1, -(-n // INDEX_ROWS), min(TASKS, n // LEAST_ROWS))
+    # a block's rows first, then every query
+    left = index.select(F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long")).alias("x"), F.lit(False).alias("asks"), "id", "code")
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("x"), F.lit(True).alias("asks"), "id", "code")
+    dealt = left.unionByName(right).repartition(blocks, "x").sortWithinPartitions("x", "asks")
     schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.int32())])
 
-    def arrays(table):
-        n = table.num_rows
-        code = table.column("code").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1) if n else np.zeros((0, 1), np.uint64)
-        return table.column("id").to_numpy(), np.ascontiguousarray(code)
-
-    def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        q_ids, q_code = arrays(asks)
-        if not len(q_ids):
-            return schema.empty_table()
-        q, i, f = MultiIndex(*arrays(rows), k).search(q_ids, q_code)
-        return pa.Table.from_batches([C.batch(schema, q_ids[q], i, f.astype(np.int32))])
-
-    near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(run, "query_id long, neighbor_id long, distance int")
+    def run(batches):
+        block, held, tables = None, [], None
+        for b in batches:
+            x, asks = b.column("x").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (asks[1:] != asks[:-1])]) if len(x) else []
+            for lo, hi in zip(edge, [*edge[1:], len(x)], strict=True):
+                ids, code = _arrays(b.slice(lo, hi - lo))
+                if x[lo] != block:
+                    block, held, tables = x[lo], [], None
+                if not asks[lo]:
+                    held.append((ids, code))
+                    continue
+                if held:
+                    tables, held = MultiIndex(*(np.concatenate(v) for v in zip(*held, strict=True)), k), []
+                if tables is not None:
+                    q, i, f = tables.search(ids, code)
+                    yield C.batch(schema, ids[q], i, f.astype(np.int32))
+
+    near = dealt.mapInArrow(run, "query_id long, neighbor_id long, distance int")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

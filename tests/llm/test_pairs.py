@@ -333,9 +333,10 @@ def test_decontamination_odd_rows(spark, odd, none):
     assert D.find(none, items).count() == 0 and D.find(odd, items.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rows", [500_000, 90])
-def test_topk_is_brute_force(spark, sf, monkeypatch, rows):
+@pytest.mark.parametrize(("rows", "batch"), [(500_000, 1 << 20), (90, 50)])
+def test_topk_is_brute_force(spark, sf, monkeypatch, rows, batch):
     monkeypatch.setattr(hamming, "INDEX_ROWS", rows)
+    monkeypatch.setattr(hamming, "BATCH", batch)
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
     want = sorted(con.sql(hamming.ORACLE_SQL).fetchall())
@@ -343,6 +344,33 @@ def test_topk_is_brute_force(spark, sf, monkeypatch, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [16, 100])
+def test_topk_with_segments_that_hold_nothing(size):
+    """Codes whose length is no multiple of 64, with one segment that nearly all codes share; ids and queries apart."""
+    rng = np.random.default_rng(size)
+    bits = rng.random((700, size)) < np.linspace(0.001, 0.6, size)
+    code = np.zeros((700, -(-size // 64)), np.uint64)
+    for b in range(size):
+        code[:, b // 64] |= bits[:, b].astype(np.uint64) << np.uint64(b % 64)
+    ids = np.arange(700)
+    asked = code[::20].copy()
+    asked[0, -1] ^= np.uint64(1) << np.uint64(63)  # differs from all codes where those agree
+    q, i, f = hamming.MultiIndex(ids, code, 10).search(ids[::20], asked)
+    far = np.bitwise_count(asked[:, None, :] ^ code[None]).sum(2)
+    for n, own in enumerate(ids[::20].tolist()):
+        want = sorted((int(d), k) for k, d in enumerate(far[n]) if k != own)[:10]
+        assert [(int(d), int(x)) for d, x in zip(f[q == n], i[q == n], strict=True)] == want
+    tables = hamming.MultiIndex(ids, code, 10)
+    assert tables.parts.shape[1] == -(-size // 16) and len(tables.same) == 4 * code.shape[1]
+
+
+def test_topk_takes_empty_vectors_and_extra_columns(spark):
+    rows = [(20, [], "x"), (1, [1.0, 2.0], "x"), (2, [-1.0], "x"), (40, [1.0, 1.0], None)]
+    code = hamming.codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, code string"))
+    got = sorted((r.query_id, r.rank, r.neighbor_id, r.distance) for r in hamming.search(code, code.where("id % 20 = 0"), 2).collect())
+    assert got == [(20, 1, 2, 0), (20, 2, 1, 2), (40, 1, 1, 0), (40, 2, 2, 2)]
+
+
 def test_topk_odd_rows(spark):
     rows = [(20, [1.0, -1.0, 2.0]), (1, [1.0, -1.0, 2.0]), (2, [1.0, -1.0, 2.0]), (3, None), (None, [1.0]), (4, [1.0, None, 1.0]), (5, [1.0]), (5, [1.0]), (40, [-1.0, 1.0, -1.0]), *((k, [1.0, -1.0, 2.0]) for k in range(101, 130) if k != 120)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
