@@ -485,6 +485,46 @@ def test_shards_split_a_text_that_fills_them(spark):
     assert max(size.values()) < 1.1 * sum(size.values()) / 5
 
 
+def test_tree_is_a_plain_one(spark, sf, monkeypatch):
+    """The same points split by sorting them, node by node."""
+    monkeypatch.setattr(sharding, "CUT_SHARE", 0)
+    seen = []
+    monkeypatch.setattr(sharding, "grow", lambda points, *a, grow=sharding.grow: seen.append((points, a)) or grow(points, *a))
+    got = sharding.assign(spark.read.parquet(f"{sf}/documents.parquet"), 7)
+    points, (shards, _, n_dims) = seen[0]
+    points = points.collect()
+    want, shard = {}, 0
+
+    def split(rows, many):
+        nonlocal shard
+        if many == 1:
+            want.update({(r.same, r.sub): shard for r in rows})
+            shard += 1
+            return
+        d = max(range(n_dims), key=lambda k: (max(r[f"k{k}"] for r in rows) - min(r[f"k{k}"] for r in rows), -k))
+        goal, total = sum(r.w for r in rows) * (many // 2) / many, 0
+        for r in sorted(rows, key=lambda r: r[f"k{d}"]):
+            if total + r.w >= goal:
+                cut = r[f"k{d}"] + (total + r.w - goal < goal - total)
+                break
+            total += r.w
+        split([r for r in rows if r[f"k{d}"] < cut], many // 2)
+        split([r for r in rows if r[f"k{d}"] >= cut], many - many // 2)
+
+    split(points, shards)
+    weight = collections.Counter()
+    for r in points:
+        weight[want[r.same, r.sub]] += r.w
+    assert {r.shard: r.w for r in got.groupBy("shard").agg(F.sum("size").alias("w")).collect()} == dict(weight)
+
+
+def test_shards_follow_from_the_bytes_they_are_to_hold(spark):
+    docs = [(k, f"{k:05d}" * 20, float("nan") if k % 3 else float("inf")) for k in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, weight double")
+    got = sharding.assign(frame, dimensions=("weight",), target_bytes=20_000).groupBy("shard").agg(F.sum("size").alias("w")).collect()
+    assert len(got) == 16 and sum(r.w for r in got) == 303_000 and max(r.w for r in got) <= 22_000
+
+
 def test_shards_odd_rows(odd, none):
     got = sharding.assign(odd).collect()
     assert len(got) == odd.count() and {(r.size, r.text_crc32) for r in got if r.doc_id in (2, 3)} == {(1, 0)}
