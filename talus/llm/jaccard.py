@@ -32,7 +32,7 @@ from .components import connected
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Representatives and bytes of text in a block; rows and bytes that one task verifies at least (small buckets share a task).
-BLOCK, BLOCK_BYTES, TASK_ROWS, TASK_BYTES = 1024, 16 << 20, 2048, 16 << 20
+BLOCK, BLOCK_BYTES, TASK_ROWS, TASK_BYTES = 1024, 16 << 20, 2048, 4 << 20
 _SHINGLE = [pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(64)]
 
 
