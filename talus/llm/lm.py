@@ -1,7 +1,8 @@
 """Language-model scores: a gated recurrent network with a class-factored output softmax, in numpy.
 
 Counts of all training tokens come first, as (64-bit hash, count) rows: the unigram base needs them, and they pick
-the network's words, the most frequent of the corpus, in classes of neighbouring frequency. Every other token is the
+the network's words, the most frequent of the corpus, in classes of neighbouring frequency: as many classes as words in
+a class, and more of them the more distinct tokens the corpus has (classes_for). Every other token is the
 class "rare", inside which a word has its smoothed unigram share, so that the model is a distribution over all words
 and one unseen one. Training is truncated backpropagation over windows of WINDOW tokens, the state carried from
 window to window, over every training document once: in each of ROUNDS rounds the tasks
@@ -9,7 +10,8 @@ start from the mean of the weights of the last round and go through their share
 log10 likelihoods of whole documents, with the state carried over all windows.
 
 Only weights and the counts of at most HEAD frequent words reach the driver and go to tasks; the counts of the other
-words stay in a table that scores are joined with.
+words stay in a table that scores are joined with. Which tasks see which rows decides the means, so that weights, and with them
+scores, may differ a little between clusters; the base score doesn't.
 
 Defined cases: null text counts as empty, which has one token, its end; rows with a null doc_id are trained on never
 and scored like any other; repeated rows count and are returned as often as they stand; without training documents
@@ -19,6 +21,7 @@ every token has probability 1 in the base and in the model; extra columns are ig
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Frequent words whose counts go to every task (16 bytes each), words of the network, its state.
-HEAD, WORDS, CLASSES, STATE = 1 << 19, 2025, 45, 16
+#: Frequent words whose counts go to every task (16 bytes each), least number of classes and of words in each, power of the
+#: distinct tokens by which it grows, state of the network.
+HEAD, CLASSES, GROWTH, STATE = 1 << 19, 45, 0.255, 16
+WORDS = CLASSES**2
 WINDOW, TRAIN_LANES, SCORE_LANES, ROUNDS, RATE = 16, 512, 1024, 3, 0.08
 #: In training the state is carried over so many tokens of a document at most, in scoring to its end.
 PIECE = 2048
-#: Distinct words that a counting task holds before it passes them on, and models that one task averages.
-HELD, FAN_IN = 1_500_000, 32
+#: Distinct words that a counting task holds before it passes them on; models, and bytes of them, that one task averages.
+HELD, FAN_IN, FAN_BYTES = 1_500_000, 32, 128 << 20
 SMOOTH = 0.1
 END = C.U64(0xE0F1D2C3B4A59687)
 
@@ -89,13 +94,19 @@ def head_cutoff(table: DataFrame, size: int = HEAD) -> int:
     return cutoff if cutoff is not None else 1 << 62
 
 
+def classes_for(distinct: int) -> int:
+    """Classes of the network, and words in each: it knows the square of that, at most HEAD words (a model of some 130 MB)."""
+    return min(math.isqrt(HEAD), max(CLASSES, math.ceil(distinct**GROWTH)))
+
+
 class Vocabulary:
-    """Head words with counts; the first WORDS by count have ids below WORDS, every other token the id WORDS."""
+    """Head words with counts; the first by count have ids below the network's number of words, every other token has that as id."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray, total: int, distinct: int):
         order = np.lexsort((h, -n))
         self.index, self.n = C.HashIndex(h[order].view(np.uint64)), n[order]
-        self.words = min(WORDS, len(h))
+        self.classes = classes_for(distinct)
+        self.words = min(self.classes**2, len(h))
         self.total, self.distinct = total, distinct
         self.base = np.log10(total + SMOOTH * (distinct + 1))
         self.rare = np.log10(total - int(self.n[: self.words].sum()) + SMOOTH * (distinct - self.words + 1))
@@ -103,29 +114,24 @@ class Vocabulary:
 
 
 class Network:
-    """The weights, and what they do to lanes of tokens. Ids WORDS and over are rare."""
+    """The weights, and what they do to lanes of tokens. Ids of classes ** 2 are rare."""
 
-    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 3):
+    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 3, classes: int = CLASSES):
         rng = np.random.default_rng(seed)
-        per = WORDS // CLASSES
+        per = self.classes = classes
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        self.w = weights or {"x": small(WORDS + 1, 3 * STATE), "u": small(STATE, 3 * STATE), "c": small(STATE, CLASSES + 1), "cb": np.zeros(CLASSES + 1, np.float32), "o": small(CLASSES, STATE, per), "ob": np.zeros((CLASSES, per), np.float32)}
-
-    @staticmethod
-    def shapes() -> dict[str, tuple]:
-        return {k: v.shape for k, v in Network().w.items()}
+        self.w = weights or {"x": small(per * classes + 1, 3 * STATE), "u": small(STATE, 3 * STATE), "c": small(STATE, classes + 1), "cb": np.zeros(classes + 1, np.float32), "o": small(classes, STATE, per), "ob": np.zeros((classes, per), np.float32)}
 
     def pack(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
 
     @classmethod
-    def unpack(cls, flat: np.ndarray) -> Network:
-        out, at = {}, 0
-        for k, shape in cls.shapes().items():
-            size = int(np.prod(shape))
-            out[k] = flat[at : at + size].reshape(shape).astype(np.float32).copy()
-            at += size
-        return cls(out)
+    def unpack(cls, flat: np.ndarray, classes: int = CLASSES) -> Network:
+        net, at = cls(classes=classes), 0
+        for k, old in net.w.items():
+            net.w[k] = flat[at : at + old.size].reshape(old.shape).astype(np.float32).copy()
+            at += old.size
+        return net
 
     def step(self, h: np.ndarray, ids: np.ndarray):
         a, u = self.w["x"][ids], h @ self.w["u"]
@@ -136,10 +142,14 @@ class Network:
 
     def output(self, h: np.ndarray, ids: np.ndarray, gradient: dict | None = None):
         """Natural log probabilities of ids (rare: of the class alone) after states h; with gradient, also the loss's slope at h."""
-        per = self.w["ob"].shape[1]
-        cls, m = np.minimum(ids // per, CLASSES), np.arange(len(ids))
-        logit = h @ self.w["c"] + self.w["cb"]
-        logit -= logit.max(1, keepdims=True)
+        per, classes = self.w["ob"].shape[1], self.classes
+        cls, m = np.minimum(ids // per, classes), np.arange(len(ids))
+        # states are within 1, so this bounds all logits: none that small needs its row's largest taken off before exp
+        calm = max(np.abs(self.w["c"]).sum(0).max() + np.abs(self.w["cb"]).max(), np.abs(self.w["o"]).sum(1).max() + np.abs(self.w["ob"]).max()) < 60
+        logit = h @ self.w["c"]
+        logit += self.w["cb"]
+        if not calm:
+            logit -= logit.max(1, keepdims=True)
         p = np.exp(logit)
         total = p.sum(1, keepdims=True)
         logp = logit[m, cls] - np.log(total[:, 0])
@@ -151,14 +161,16 @@ class Network:
             gradient["o"], gradient["ob"] = np.zeros_like(self.w["o"]), np.zeros_like(self.w["ob"])
             slope = p @ self.w["c"].T
         order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        edge = np.searchsorted(cls[order], np.arange(classes + 1))
+        for c in range(classes):
             rows = order[edge[c] : edge[c + 1]]
             if not len(rows):
                 continue
             hc, inside = h[rows], ids[rows] - c * per
-            logit = hc @ self.w["o"][c] + self.w["ob"][c]
-            logit -= logit.max(1, keepdims=True)
+            logit = hc @ self.w["o"][c]
+            logit += self.w["ob"][c]
+            if not calm:
+                logit -= logit.max(1, keepdims=True)
             p = np.exp(logit)
             total = p.sum(1, keepdims=True)
             k = np.arange(len(rows))
@@ -267,7 +279,7 @@ def _batch_tokens(batch):
 
 
 def _network_ids(voc: Vocabulary, place: np.ndarray) -> np.ndarray:
-    return np.where((place < 0) | (place >= voc.words), WORDS, place).astype(np.int64)
+    return np.where((place < 0) | (place >= voc.words), voc.classes**2, place).astype(np.int64)
 
 
 def train(docs: DataFrame, voc, rounds: int = ROUNDS) -> np.ndarray | None:
@@ -278,7 +290,7 @@ def train(docs: DataFrame, voc, rounds: int = ROUNDS) -> np.ndarray | None:
         begin = weights
 
         def run(batches, begin=begin, r=r):
-            net = Network.unpack(begin) if begin is not None else Network()
+            net = Network.unpack(begin, voc.value.classes) if begin is not None else Network(classes=voc.value.classes)
             learn, seen = Adagrad(RATE / (1 + r)), 0
             for b in batches:
                 h, first = _batch_tokens(b)
@@ -297,8 +309,9 @@ def train(docs: DataFrame, voc, rounds: int = ROUNDS) -> np.ndarray | None:
         models = part.mapInArrow(run, "seen double, w binary")
         models = C.cut(models.select("seen", "w", F.monotonically_increasing_id().alias("id")))
         n = models.count()
-        while n > FAN_IN:
-            groups = -(-n // FAN_IN)
+        many = max(2, min(FAN_IN, FAN_BYTES // (4 * (3 * STATE + STATE + 1) * voc.value.classes**2)))
+        while n > many:
+            groups = -(-n // many)
             models = C.cut(models.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("id")).applyInArrow(_mean, "seen double, w binary, id long"))
             n = models.count()
         if n:
@@ -328,7 +341,7 @@ def score(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
 
     def run(batches):
         v = voc.value
-        net = Network.unpack(weights) if weights is not None else None
+        net = Network.unpack(weights, v.classes) if weights is not None else None
         for b in batches:
             h, first = _batch_tokens(b)
             place = v.index.find(h)
@@ -340,7 +353,7 @@ def score(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
             if net:
                 order, streams, _, _ = lanes(first, SCORE_LANES)
                 model[order] = net.windows(ids[order], (h == END)[order], streams) / np.log(10)
-            rare = ids == WORDS
+            rare = ids == v.classes**2
             model[rare] += log_count[rare] - v.rare
             tail = np.flatnonzero(~known)
             at = np.searchsorted(tail, first).astype(np.int32)

@@ -396,6 +396,49 @@ def test_language_model_base_is_brute_force(spark, sf):
         assert r.score < 0
 
 
+def test_language_model_beats_its_base_on_held_out_texts(spark):
+    got = lm.op3_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (got.s - got.b) / got.n > 0.04
+
+
+def test_network_knows_more_words_of_larger_corpora():
+    assert [lm.classes_for(n) for n in (10, 10**6, 10**8, 10**10, 10**15)] == [45, 45, 110, 355, 724]
+    net = lm.Network(classes=50)
+    h = np.random.default_rng(0).normal(size=(1, lm.STATE)).astype(np.float32)
+    logp, _ = net.output(np.repeat(h, 2501, 0), np.arange(2501))
+    assert np.exp(logp.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    again = lm.Network.unpack(net.pack(), 50)
+    assert all((again.w[k] == v).all() for k, v in net.w.items())
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_network_is_a_plain_gated_one(scale):
+    """Word by word, with lists and one softmax over classes and one inside; the state goes on to the end of a document."""
+    net = lm.Network(classes=4)
+    net.w = {k: v.astype(np.float64) * (3 if k in "xu" else scale) for k, v in net.w.items()}
+    rng = np.random.default_rng(1)
+    sizes = [70, 1, 33, 5]
+    first = np.r_[0, np.cumsum(sizes)]
+    ids, ends = rng.integers(0, 17, first[-1]), np.zeros(first[-1], bool)
+    ends[first[1:] - 1] = True
+    order, streams, _, _ = lm.lanes(first, 3)
+    got = np.empty(len(ids))
+    got[order] = net.windows(ids[order], ends[order], streams)
+    sigmoid, s = lambda v: 1 / (1 + np.exp(-v)), lm.STATE
+    share = lambda logits, k: logits[k] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        h = np.zeros(s)
+        for t in range(a, b):
+            i = int(ids[t])
+            want = share(h @ net.w["c"] + net.w["cb"], min(i // 4, 4))
+            if i < 16:
+                want += share(h @ net.w["o"][i // 4] + net.w["ob"][i // 4], i % 4)
+            assert got[t] == pytest.approx(want, rel=1e-4, abs=1e-4)
+            x, u = net.w["x"][i], h @ net.w["u"]
+            z, r = sigmoid(x[:s] + u[:s]), sigmoid(x[s : 2 * s] + u[s : 2 * s])
+            h = (1 - z) * np.tanh(x[2 * s :] + r * u[2 * s :]) + z * h
+
+
 def test_network_is_a_distribution_and_learns():
     net = lm.Network()
     h = np.random.default_rng(0).normal(size=(1, lm.STATE)).astype(np.float32)
