@@ -101,6 +101,18 @@ def repeated_sentence(text: Column) -> Column:
     return F.when(F.length(text) >= 10, F.get(three, F.lit(0)))
 
 
+def repeats(text: Column) -> Column:
+    """How often the first word, else the first sentence, that stands three times in a row or more stands there; 0 for none."""
+    words = F.trim(F.regexp_extract(text, L.PATTERNS["repeat"], 0))
+    clean = lambda s: F.trim(F.regexp_replace(F.lower(F.trim(s)), r"^[!?.]+|[!?.]+$", ""))
+    parts = F.transform(F.filter(F.split(text, r"(?<=[.!?])\s*"), lambda s: F.length(F.trim(s)) >= 5), clean)
+    begins = F.transform(parts, lambda s, i: F.coalesce((F.length(s) >= 5) & (s == F.get(parts, i + 1)) & (s == F.get(parts, i + 2)), F.lit(False)))
+    rest = F.slice(parts, F.greatest(F.array_position(begins, True), F.lit(1)).cast("int"), F.size(parts))
+    other = F.array_position(F.transform(rest, lambda s: s == F.get(rest, F.lit(0))), False)
+    said = F.when(~F.array_contains(begins, True), 0).when(other == 0, F.size(rest)).otherwise(other - 1)
+    return F.when(F.length(text) < 10, 0).when(words != "", F.size(F.split(words, r"\s+"))).otherwise(said).cast("int")
+
+
 def collapse_char_per_line(text: Column, lines_over: int = 6, share: float = 0.7) -> tuple[Column, Column]:
     """(text, was encoded): lines of single characters are joined where they make up over share of more than lines_over lines."""
     lines = F.split(text, "\n", -1)

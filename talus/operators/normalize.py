@@ -16,10 +16,39 @@ from pyspark.sql import functions as F
 ALIASES = {
     "node_id": ["id", "node_id", "name"], "node_label": ["label", "name", "title", "id"], "node_description": ["description", "summary", "text"], "node_index": ["message_index", "first_appearance", "msg_index", "index"], "node_confidence": ["confidence", "maturity", "state"],
     "edge_src": ["from", "from_id", "from_node", "source"], "edge_dst": ["to", "to_id", "to_node", "target"], "edge_type": ["type", "transition_type", "relation"],
-    "marker_id": ["marker_id", "id"], "marker_claim": ["claim", "text", "description", "content", "warning", "recommendation"], "marker_category": ["category", "type", "kind"], "marker_target": ["target", "file", "target_file", "applies_to"], "marker_severity": ["severity", "priority", "level"],
-    "file": ["file", "file_path", "filename", "path"], "message_index": ["msg_index", "index", "message_index"], "observation": ["observation", "text", "description"],
+    "marker_id": ["marker_id", "id", "warning_id"], "marker_claim": ["claim", "text", "description", "content", "warning", "recommendation"], "marker_category": ["category", "type", "kind"], "marker_severity": ["severity", "priority"],
+    "marker_target": ["target", "target_file", "affected_files", "affected_components", "affected_component", "files_affected", "scope"],
+    "marker_target_text": ["claim", "content", "detail", "description", "message", "warning"],
+    "marker_warning": ["warning", "claim", "title", "content", "detail", "description", "message"],
+    "marker_recommendation": ["recommendation", "actionable_guidance", "action", "action_required", "remediation", "resolution", "fix", "recommended_action", "verification_action"],
+    "file": ["file", "file_path", "filename", "file_name", "name", "path"], "message_index": ["msg_index", "index", "message_index"], "observation": ["observation", "text", "description"],
     "action_vector": ["action_vector", "primitives.action_vector"], "confidence_signal": ["confidence_signal", "primitives.confidence_signal"], "emotional_tenor": ["emotional_tenor", "primitives.emotional_tenor"], "intent_marker": ["intent_marker", "primitives.intent_marker"],
 }
+DOSSIERS = [
+    "dossiers", "data_file_dossiers", "file_dossiers", "files", "detailed_dossiers", "code_file_dossiers", "analysis_output_dossiers", "conceptual_entity_dossiers", "standard_dossiers", "peripheral_files",
+]
+GEOLOGY = {
+    "micro": ["micro", "micro_observations", "micro_level"], "meso": ["meso", "meso_observations", "meso_level", "patterns"], "macro": ["macro", "macro_observations", "macro_level", "arcs"],
+    None: [
+        "observations", "strata", "layers", "geological_layers", "zoom_levels", "exploration_notes", "analysis_levels", "vertical_structures", "stratigraphy", "stratigraphic_column", "geological_features", "deep_time_observations",
+        "cross_cutting_features", "fault_lines", "fossils", "session_character",
+    ],
+}
+INNER = ["observations", "entries", "notes", "findings"]
+EXPLORER = [
+    "observations", "exploration_notes", "explorer_observations", "exploration_findings", "free_notes", "notes", "notable_observations", "surprising_observations", "overlooked_patterns", "explorer_findings", "explorations",
+    "exploration_summary",
+]
+EXPLORER_SECTIONS = [
+    "abandoned_ideas", "patterns", "warnings", "anomalies", "unanswered_questions", "open_questions", "what_matters_most", "emotional_dynamics", "cross_session_connections", "cross_session_links", "ideas_detected",
+]
+BEHAVIOR_PROFILES = ["claude_behavior_profile", "claude_behavior_patterns", "behavioral_timeline"]
+RECOVERED = ["key_findings", "recommendations_for_future_sessions", "trust_calibration_assessment", "claude_capability_assessment"]
+CANONICAL_KEYS = {
+    "thread_extractions": ["threads"], "geological_notes": ["micro", "meso", "macro", "observations"], "semantic_primitives": ["tagged_messages", "distributions", "summary_statistics"],
+    "explorer_notes": ["observations", "explorer_summary"], "idea_graph": ["nodes", "edges", "metadata"], "synthesis": ["passes", "key_findings", "session_character"],
+    "grounded_markers": ["markers", "total_markers"], "file_dossiers": ["dossiers", "total_files_cataloged"], "claude_md_analysis": ["gate_activations", "overall_assessment"],
+}
 METADATA = ("session_id", "generated_at", "generator", "model", "source_files", "_schema_version", "_normalized_at")
 CATEGORIES = ("ideas", "reactions", "software", "code", "plans", "behavior")
 CONTRACTS = {
@@ -98,9 +127,13 @@ def primitives(docs: DataFrame, key: str = "session_id", doc: str = "doc") -> Da
 def geology(docs: DataFrame, key: str = "session_id", doc: str = "doc") -> DataFrame:
     """session_id, zoom, lo, hi, observation, evidence from lists by zoom or one list with levels."""
     d, e = F.col(doc), F.col("e")
-    zooms = {"micro": ["micro", "micro_observations", "micro_level"], "meso": ["meso", "meso_observations", "meso_level", "patterns"], "macro": ["macro", "macro_observations", "macro_level", "arcs"]}
-    parts = [docs.select(key, F.lit(z).alias("zoom"), F.explode(F.concat(*(elements(get(d, k)) for k in names))).alias("e")) for z, names in zooms.items()]
-    parts.append(docs.select(key, F.explode(elements(get(d, "observations"))).alias("e")).select(key, F.coalesce(get(e, "zoom"), get(e, "level"), F.lit("micro")).alias("zoom"), "e"))
+    # a section is a list, or an object with one inside, or an object that is an observation itself
+    inside = lambda v: F.coalesce(*(F.when(kind(get(v, k)) == "array", elements(get(v, k))) for k in INNER))
+    held = lambda v: F.when(kind(v) == "object", F.coalesce(inside(v), F.array(v))).otherwise(elements(v))
+    parts = []
+    for zoom, names in GEOLOGY.items():
+        rows = docs.select(key, F.explode(F.concat(*(held(get(d, k)) for k in names))).alias("e"))
+        parts.append(rows.select(key, (F.lit(zoom) if zoom else F.coalesce(get(e, "zoom"), get(e, "level"), F.lit("micro"))).alias("zoom"), "e"))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -119,14 +152,52 @@ def graph(docs: DataFrame, key: str = "session_id", doc: str = "doc") -> tuple[D
     return nodes.where("id is not null"), edges.where("src is not null and dst is not null")
 
 
+def _joined(value: Column) -> Column:
+    """A list's items with spaces between them, anything else as it is; empty for what holds nothing."""
+    text = F.when(kind(value) == "array", F.array_join(elements(value), " ")).otherwise(value)
+    return F.when(classify_value(value) == "POPULATED", text)
+
+
+def marker_target(marker: Column) -> Column:
+    """What a marker is aimed at: the first target that holds something, else its first text."""
+    texts = (F.when(kind(get(marker, k)) == "string", F.nullif(get(marker, k), F.lit(""))) for k in ALIASES["marker_target_text"])
+    return F.coalesce(*(_joined(get(marker, k)) for k in ALIASES["marker_target"]), *texts, F.lit(""))
+
+
+def marker_warning(marker: Column) -> Column:
+    """A marker's text: the first that is one, or the title or description of the first that is an object."""
+    text = lambda v: F.when(kind(v) == "object", F.coalesce(F.nullif(get(v, "title"), F.lit("")), F.nullif(get(v, "description"), F.lit("")), v)).when(kind(v) == "string", F.nullif(v, F.lit("")))
+    return F.coalesce(*(text(get(marker, k)) for k in ALIASES["marker_warning"]), F.lit(""))
+
+
+def marker_recommendation(marker: Column) -> Column:
+    """What a marker says to do: the first text of its kinds."""
+    return F.coalesce(*(F.when(kind(get(marker, k)) == "string", F.nullif(get(marker, k), F.lit(""))) for k in ALIASES["marker_recommendation"]), F.lit(""))
+
+
 def markers(docs: DataFrame, key: str = "session_id", doc: str = "doc") -> DataFrame:
-    """Markers, warnings and recommendations as rows: kind, id, category, claim, target, severity, confidence."""
+    """Markers as rows: kind, id, category, claim, target, severity, confidence, warning, recommendation.
+
+    They are in `markers`; where that is missing, in lists by level; where there are none of either, warnings,
+    recommendations and patterns are markers, and beside an empty list of markers the metrics are one.
+    """
     d, e = F.col(doc), F.col("e")
-    parts = [docs.select(key, F.lit(k[:-1]).alias("kind"), F.explode(elements(get(d, k))).alias("e")) for k in ("markers", "warnings", "recommendations", "patterns")]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.select(key, "kind", *(first_of(e, f"marker_{c}").alias(c) for c in ("id", "category", "claim", "target", "severity")), get(e, "confidence").cast("double").alias("confidence"))
+    listed = lambda k: elements(get(d, k))
+    level = ["session_level_markers", "file_level_markers", "function_level_markers"]
+    some, missing = F.size(listed("markers")) > 0, kind(get(d, "markers")) == "missing"
+    by_level = sum((F.size(listed(k)) for k in level), F.lit(0)) > 0
+    rest = ~some & ~(missing & by_level)
+    sources = [("markers", "marker", some), *((k, "marker", missing) for k in level), *((k, k[:-1], rest) for k in ("warnings", "recommendations", "patterns"))]
+    both = None
+    for name, what, cond in sources:
+        part = docs.where(cond).select(key, F.lit(what).alias("kind"), F.explode(listed(name)).alias("e"))
+        both = part if both is None else both.unionByName(part)
+    fields = [first_of(e, f"marker_{c}").alias(c) for c in ("id", "category", "claim")]
+    fields += [marker_target(e).alias("target"), F.coalesce(first_of(e, "marker_severity"), F.lit("unknown")).alias("severity"), get(e, "confidence").cast("double").alias("confidence")]
+    out = both.select(key, "kind", *fields, marker_warning(e).alias("warning"), marker_recommendation(e).alias("recommendation"))
+    metrics = docs.where(~some & ~missing & (kind(get(d, "metrics")) == "object")).select(key, F.lit("metrics").alias("kind"), get(d, "metrics").alias("m"))
+    text = F.lit("").alias
+    return out.unionByName(metrics.select(key, "kind", F.lit("GM-METRICS").alias("id"), F.lit("metrics").alias("category"), F.col("m").alias("claim"), text("target"), F.lit("unknown").alias("severity"), F.lit(0.5).alias("confidence"), F.col("m").alias("warning"), text("recommendation")))
 
 
 def marker_kind(category: Column) -> Column:
@@ -136,7 +207,7 @@ def marker_kind(category: Column) -> Column:
 def dossiers(docs: DataFrame, key: str = "session_id", doc: str = "doc") -> DataFrame:
     """session_id, file, dossier (JSON) from an object by file or a list with a file in each; unnamed and odd entries go."""
     d = F.col(doc)
-    body = F.coalesce(get(d, "dossiers"), get(d, "files"), get(d, "file_dossiers"))
+    body = F.coalesce(*(F.when(kind(get(d, k)).isin("object", "array"), get(d, k)) for k in DOSSIERS))
     keyed = docs.select(key, F.explode(members(body)).alias("m")).select(key, F.col("m.key").alias("file"), F.col("m.value").alias("dossier"))
     listed = docs.select(key, F.explode(elements(body)).alias("dossier")).select(key, first_of(F.col("dossier"), "file").alias("file"), "dossier")
     return keyed.unionByName(listed).where((kind(F.col("dossier")) == "object") & F.col("file").isNotNull() & (F.col("file") != "unknown"))
@@ -151,6 +222,57 @@ def synthesis(docs: DataFrame, key: str = "session_id", doc: str = "doc") -> Dat
     return keyed.unionByName(listed).select(key, "pass", F.explode(F.when(kind(F.col("v")) == "array", elements(F.col("v"))).when(F.size(elements(get(F.col("v"), "findings"))) > 0, elements(get(F.col("v"), "findings"))).otherwise(F.array("v"))).alias("finding"))
 
 
+def explorer(docs: DataFrame, key: str = "session_id", doc: str = "doc") -> DataFrame:
+    """session_id, section, id, observation: the notes of all lists that explorers use, in the lists' order."""
+    d, o = F.col(doc), F.col("o")
+    named = lambda k: F.transform(elements(get(d, k)), lambda x: F.struct(F.lit(k).alias("section"), x.alias("o")))
+    held = [named(k) for k in [*EXPLORER, *EXPLORER_SECTIONS]]
+    rows = docs.select(key, F.explode(F.concat(*held)).alias("x")).select(key, "x.section", "x.o")
+    said = F.when(kind(o) == "object", F.coalesce(first_of(o, "observation"), o)).otherwise(o)
+    return rows.where((~F.col("section").isin(EXPLORER_SECTIONS)) | kind(o).isin("object", "string")).select(key, "section", get(o, "id").alias("id"), said.alias("observation"))
+
+
+def gates(docs: DataFrame, key: str = "session_id", doc: str = "doc") -> DataFrame:
+    """session_id, gate_activations (array of JSON), gates_not_triggered, overall (JSON or text), behavior_profile, security of an analysis.
+
+    One activation may stand without its list. Where there is neither an activation, an assessment nor a profile, what
+    other findings there are become the assessment.
+    """
+    d = F.col(doc)
+    active = get(d, "gate_activations")
+    activations = F.when(kind(active) == "object", F.array(active)).otherwise(elements(active))
+    said = F.when(kind(get(d, "overall_assessment")).isin("object", "string"), F.nullif(get(d, "overall_assessment"), F.lit("")))
+    # the first of the names that is there counts, whatever it holds
+    profile = F.coalesce(*(get(d, k) for k in BEHAVIOR_PROFILES))
+    nothing = (F.size(activations) == 0) & (said.isNull() | (F.regexp_replace(said, r"\s", "") == "{}")) & (classify_value(profile) != "POPULATED")
+    found = F.array_compact(F.array(*(F.when(get(d, k).isNotNull(), F.struct(F.lit(k).alias("key"), get(d, k).alias("value"))) for k in RECOVERED)))
+    recovered = F.when(nothing & (F.size(found) > 0), F.to_json(F.map_from_entries(found)))
+    objects = lambda v: F.when(kind(v) == "object", v)
+    return docs.select(
+        key, activations.alias("gate_activations"), elements(get(d, "gates_not_triggered")).alias("gates_not_triggered"), F.coalesce(recovered, said).alias("overall"), objects(profile).alias("behavior_profile"),
+        objects(get(d, "tier2_security_analysis")).alias("security"),
+    )
+
+
+def validate(docs: DataFrame, canonical: dict = CANONICAL_KEYS, kind_col: str = "kind", doc: str = "doc") -> DataFrame:
+    """docs with valid and missing_keys: which members of its kind's canonical form a document lacks (PARSE_ERROR: it is no object)."""
+    d = F.col(doc)
+    present = F.map_keys(F.from_json(d, "map<string,string>"))
+    wanted = F.array().cast("array<string>")
+    for name, names in canonical.items():
+        wanted = F.when(F.col(kind_col) == name, F.array(*(F.lit(k) for k in names))).otherwise(wanted)
+    missing = F.when(F.size(wanted) == 0, wanted).when(present.isNull(), F.array(F.lit("PARSE_ERROR"))).otherwise(F.filter(wanted, lambda k: ~F.array_contains(present, k)))
+    return docs.withColumns({"missing_keys": missing, "valid": F.size(missing) == 0})
+
+
+def normalization_status(docs: DataFrame, kind_col: str = "kind", doc: str = "doc") -> DataFrame:
+    """validate() with status: already_normalized (stamped), valid, needs_normalization, or unreadable."""
+    checked = validate(docs, kind_col=kind_col, doc=doc)
+    broken = F.array_contains("missing_keys", "PARSE_ERROR")
+    status = F.when(get(F.col(doc), "_normalized_at").isNotNull(), "already_normalized").when(broken, "unreadable").when(F.col("valid"), "valid").otherwise("needs_normalization")
+    return checked.withColumn("status", status)
+
+
 def stamp(docs: DataFrame, done: DataFrame, key: str = "session_id") -> DataFrame:
     """The documents that haven't been normalized yet: a second run finds none."""
     return docs.join(done.select(key), key, "left_anti")
@@ -222,4 +344,6 @@ def repaired(text: Column) -> Column:
     def fix(s: pd.Series) -> pd.Series:
         return s.map(repair)
 
-    return F.when(F.is_valid_json(text) if hasattr(F, "is_valid_json") else F.lit(False), text).otherwise(fix(text))
+    # only text that the JVM can't parse goes to Python
+    valid = F.try_parse_json(text).isNotNull()
+    return F.when(valid, text).otherwise(fix(F.when(~valid, text)))

@@ -5,6 +5,8 @@ The input is an enriched table (messages.enrich, then behavior.flags for the fla
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +66,18 @@ def intent(lex: dict = L.INTENT) -> Column:
     return _ladder(steps, F.lit("exploration"))
 
 
+# --- fixed values: flags that a friction names, in order, and what it calls them
+FRICTION_FLAGS = {
+    "confusion": "confusion", "forgetting": "forgetting", "assumptions": "assumptions", "contradicts_self": "contradicts", "apologizes": "apologizes", "rushes": "rushing", "overconfident": "overconfident",
+    "ignores_context": "ignores_context", "repeats_failed": "repeats_failed", "unsolicited_addition": "unsolicited_addition", "premature_completion": "premature_completion", "batch_without_verify": "batch_without_verify",
+    "silent_decision": "silent_decision", "hollow_fulfillment": "hollow_fulfillment", "unverified_claim": "unverified_claim", "scope_creep": "scope_creep", "acknowledges_mistake": "acknowledges_mistake",
+}
+
+
 def friction() -> Column:
     """A sentence about what went wrong, or null."""
     readable = F.trim(F.replace(F.trim(F.col("content")), F.lit("\n"), F.lit(" ")))
-    flagged = F.array_join(F.array_compact(F.array(*(F.when(F.col(k), k) for k in [*L.BEHAVIOR, "rushes", "batch_without_verify", "ignores_context"] if k not in ("clarifying",)))), ", ")
+    flagged = F.array_join(F.array_compact(F.array(*(F.when(F.col(k), name) for k, name in FRICTION_FLAGS.items()))), ", ")
     upset = (F.col("role") == "user") & ((F.col("caps_ratio") > 0.3) | F.col("profanity") | F.col("emergency")) & (readable != "")
     out = F.when(upset, F.concat(F.lit("User frustration: "), readable))
     out = out.when(F.col("error") | F.col("traceback"), F.when(F.size("error_types") > 0, F.concat(F.lit("Encountered "), F.array_join("error_types", ", "), F.lit(" during execution"))).otherwise("Code error encountered during execution"))
@@ -85,9 +95,21 @@ DECISIONS = [
 ]
 
 
-def decision(rules: list = DECISIONS) -> Column:
-    """chose X over Y because Z, by the first rule that matches, or null."""
+# words that all have to stand, lists of which one each has to stand, and the decision
+KNOWN_DECISIONS = [
+    (["four_thread", "six_thread"], [], "chose six_thread_extractor over four_thread_extractor because expanded analysis threads"),
+    (["v1", "v5"], [["enhance", "incorporate"]], "chose enhancing V1 with V5 capabilities over replacing V1 because V1 actually worked"),
+    (["unified_orchestrator"], [["pipeline", "orchestrat"]], "chose unified orchestrator over separate pipelines because need single entry point"),
+    (["opus"], [["sonnet", "haiku"], ["only", "not"]], "chose Opus only over tiered models because user mandate for quality"),
+]
+
+
+def decision(rules: list = DECISIONS, known: list = KNOWN_DECISIONS) -> Column:
+    """chose X over Y because Z, by the first rule that matches, else a known decision by its words, or null."""
     low, out = F.lower("content"), F.lit(None).cast("string")
+    for words, choices, text in reversed(known):
+        said = [low.contains(w) for w in words] + [T.any_of(some, low) for some in choices]
+        out = F.when(reduce(lambda a, b: a & b, said), text).otherwise(out)
     for pattern, chosen, over, why in reversed(rules):
         part = lambda g, p=pattern: F.trim(F.regexp_extract(low, p, g))
         reason = part(why) if isinstance(why, int) else F.lit(why)
@@ -97,7 +119,7 @@ def decision(rules: list = DECISIONS) -> Column:
 
 def tag(enriched: DataFrame) -> DataFrame:
     """session_id, idx, role and the tags of each message that isn't protocol."""
-    flags = {k: F.lit(False) for k in [*L.BEHAVIOR, "rushes", "batch_without_verify", "ignores_context"] if k not in enriched.columns}
+    flags = {k: F.lit(False) for k in [*L.BEHAVIOR, *FRICTION_FLAGS] if k not in enriched.columns}
     return enriched.withColumns(flags).where("not is_protocol").select("session_id", "idx", "role", action().alias("action_vector"), confidence().alias("confidence_signal"), emotion().alias("emotional_tenor"), intent().alias("intent_marker"), friction().alias("friction_log"), decision().alias("decision_trace"))
 
 

@@ -37,7 +37,8 @@ def frustration_level(phrases: list = FRUSTRATION) -> Column:
     """0 to 5 from capitals, profanity, exclamation marks, interventions, repeats and phrases."""
     low, caps, marks = F.lower("content"), F.col("caps_ratio"), F.col("exclamations")
     points = F.when(caps > 0.8, 3).when(caps > 0.4, 2).when(caps > 0.2, 1).otherwise(0) + F.when(F.col("profanity"), 2).otherwise(0) + F.when(marks > 5, 2).when(marks > 2, 1).otherwise(0)
-    points = points + F.col("emergency").cast("int") + F.when(F.col("repeated").isNotNull(), 1).otherwise(0)
+    repeats = T.repeats(F.col("content"))
+    points = points + F.col("emergency").cast("int") + F.when(repeats > 3, 2).when(repeats > 1, 1).otherwise(0)
     for words, n in phrases:
         points = points + F.when(T.any_of(words, low), n).otherwise(0)
     return F.least(points, F.lit(5))
