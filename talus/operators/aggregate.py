@@ -129,3 +129,34 @@ def busiest(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFra
     n = rows.groupBy(*by, value.alias("__v")).agg(F.count("*").alias("__n"))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("__n"), "__v"))
     return n.withColumn("__r", rank).where("__r = 1").select(*by, F.col("__v").alias(name))
+
+
+def merge_totals(merged: DataFrame, passes: list[str], usage: DataFrame) -> DataFrame:
+    """One row a session: messages with and without a pass's result, the passes that have any, and what they cost (usage: session_id, cost)."""
+    found = F.coalesce(*(F.when(F.col(p).isNotNull(), 1) for p in passes))
+    seen = [F.when(F.count_if(F.col(p).isNotNull()) > 0, p) for p in passes]
+    own = merged.groupBy("session_id").agg(F.count("*").alias("total_messages"), F.count(found).alias("with_result"), F.array_compact(F.array(*seen)).alias("passes"))
+    cost = usage.groupBy("session_id").agg(F.sum("cost").alias("cost"))
+    out = own.join(cost, "session_id", "left").withColumn("without_result", F.col("total_messages") - F.col("with_result"))
+    return out.na.fill(0.0, ["cost"])
+
+
+def session_totals(sessions: DataFrame) -> DataFrame:
+    """section (total, day or size), name, n, bytes over sessions (date, size_class, size_bytes, total_messages, user_messages, assistant_messages, is_agent)."""
+    by = lambda section, name: sessions.where(name.isNotNull()).groupBy(name.cast("string").alias("name")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")).select(F.lit(section).alias("section"), "name", "n", "bytes")
+    counts = {"sessions": F.count("*"), "agent_sessions": F.count_if("is_agent"), "human_sessions": F.count_if(~F.col("is_agent"))}
+    counts |= {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("total_messages", "user_messages", "assistant_messages")}
+    one = sessions.agg(*(v.alias(k) for k, v in counts.items()), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+    total = one.select(F.lit("total").alias("section"), F.stack(F.lit(len(counts)), *(x for k in counts for x in (F.lit(k), F.col(k)))).alias("name", "n"), "bytes")
+    return total.unionByName(by("day", F.col("date"))).unionByName(by("size", F.col("size_class")))
+
+
+def behavior_patterns(rows: DataFrame) -> DataFrame:
+    """file, pattern, seen (array<struct<session_id, value>>) from rows (session_id, file, behavior: map of texts); empty values don't count."""
+    each = rows.select("file", "session_id", F.explode("behavior").alias("pattern", "value")).where("value is not null and value <> ''")
+    return each.groupBy("file", "pattern").agg(F.sort_array(F.collect_list(F.struct("session_id", "value"))).alias("seen"))
+
+
+def related_files(rows: DataFrame) -> DataFrame:
+    """file and the sorted union of its related files over all sessions."""
+    return rows.select("file", F.explode("related").alias("r")).groupBy("file").agg(F.array_sort(F.collect_set("r")).alias("related"))

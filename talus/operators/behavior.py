@@ -46,23 +46,45 @@ def flags(messages: DataFrame, context: int | None = CONTEXT) -> DataFrame:
     low = F.lower(content)
     operations = T.count(L.FILE_OPERATION, content)
     earlier = _before(context)
-    failed = F.array_distinct(F.flatten(F.collect_list(F.when(T.found(r"(?i)error|failed|doesn't work", content), T.matches(L.PATTERNS["any_file"], content))).over(earlier)))
+    fails = T.found(r"(?i)error|failed|doesn't work", content)
+    if context is None:
+        # no window gathers the texts of a whole session: the last five of the role by lag, failed files by their first failure
+        messages = _repeats_failed(messages, content, fails)
+        repeats, said = F.col("__repeats"), _last_of_role(low)
+    else:
+        failed = F.array_distinct(F.flatten(F.collect_list(F.when(fails, T.matches(L.PATTERNS["any_file"], content))).over(earlier)))
+        repeats = F.size(F.array_intersect(F.coalesce(failed, F.array().cast("array<string>")), T.matches(L.FILE_OPERATION, content))) > 0
+        said = F.slice(F.reverse(F.collect_list(F.when(assistant, low)).over(earlier)), 1, 5)
     own = {name: T.found(f"(?i){pattern}", full if thinks else content) for name, (thinks, _, pattern) in L.BEHAVIOR.items()}
     own["unverified_claim"] = own["unverified_claim"] & ~T.found(L.EVIDENCE, content)
     spoke = F.coalesce(F.max(assistant.cast("int")).over(earlier), F.lit(0)) > 0
     last_user = F.last(F.when(F.col("role") == "user", content), ignorenulls=True).over(earlier)
     own |= {
         "rushes": (F.length("thinking") > 0) & (F.length("thinking") < 100) & (F.length(content) > 500), "asks_questions": content.contains("?") & T.any_of(L.QUESTION_PHRASES, low), "batch_without_verify": (operations >= 3) & ~T.found(L.VERIFY, content), "hollow_fulfillment": hollow(content),
-        "contradicts_self": spoke & (T.found(L.SELF_CORRECTION, low) | _contradicts(low, earlier)), "repeats_failed": F.size(F.array_intersect(F.coalesce(failed, F.array().cast("array<string>")), T.matches(L.FILE_OPERATION, content))) > 0, "ignores_context": ignores_context(content, last_user, spoke),
+        "contradicts_self": spoke & (T.found(L.SELF_CORRECTION, low) | _contradicts(low, said)), "repeats_failed": repeats, "ignores_context": ignores_context(content, last_user, spoke),
     }
-    out = messages.withColumns({k: F.coalesce(assistant & v, F.lit(False)) for k, v in own.items()})
+    out = messages.withColumns({k: F.coalesce(assistant & v, F.lit(False)) for k, v in own.items()}).drop("__repeats")
     weights = {k: w for k, (_, w, _) in L.BEHAVIOR.items()} | L.OTHER_UPSET
     return out.withColumn("upset_score", F.greatest(F.lit(0), sum((F.col(k).cast("int") * w for k, w in weights.items() if w), F.lit(0))))
 
 
-def _contradicts(low: Column, earlier) -> Column:
+def _last_of_role(low: Column, n: int = 5) -> Column:
+    """The last n texts of the same role in the session, nearest first."""
+    own = W.partitionBy("session_id", "role").orderBy("idx")
+    return F.array_compact(F.array(*(F.lag(low, k).over(own) for k in range(1, n + 1))))
+
+
+def _repeats_failed(messages: DataFrame, content: Column, fails: Column) -> DataFrame:
+    """messages with __repeats: whether a message works on a file that an earlier one of its session names beside a failure."""
+    first = messages.where(fails).select("session_id", "idx", F.explode(T.matches(L.PATTERNS["any_file"], content)).alias("__file"))
+    first = first.groupBy("session_id", "__file").agg(F.min("idx").alias("__first"))
+    done = messages.where("role = 'assistant'").select("session_id", "idx", F.explode(T.matches(L.FILE_OPERATION, content)).alias("__file"))
+    again = done.join(first, ["session_id", "__file"]).where("__first < idx").select("session_id", "idx", F.lit(True).alias("__repeats")).distinct()
+    return messages.join(again, ["session_id", "idx"], "left")
+
+
+def _contradicts(low: Column, said: Column) -> Column:
     """Something that worked (was complete) in the last five assistant messages does not now."""
-    said = F.slice(F.reverse(F.collect_list(F.when(F.col("role") == "assistant", F.lower("content"))).over(earlier)), 1, 5)
     items = lambda p: F.flatten(F.transform(said, lambda t: F.regexp_extract_all(t, F.lit(p), F.lit(1))))
     quoted = lambda x, rest: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"), F.lit(rest))
     broken = F.exists(items(r"(\w+(?:\.\w+)?)\s+(?:works?|is working|is functional)"), lambda x: F.regexp_like(low, quoted(x, r"\s+(?:doesn'?t|does not|isn'?t|is not)\s+work")))

@@ -116,12 +116,33 @@ def session_stats(enriched: DataFrame) -> DataFrame:
     )
 
 
-def file_mentions(enriched: DataFrame) -> DataFrame:
-    """session_id, file, n: messages that name a file, without short names that are part of another name of the session."""
+# --- fixed values: names that stand for any file
+GENERIC_FILES = [
+    "file.py", "mentioned.py", "other_file.py", "filename.py", "example.py", "test.py", "main.py", "script.py", "module.py", "utils.py", "helper.py", "config.py", "setup.py", "run.py", "app.py", "index.js", "index.html", "style.css",
+    "styles.css", "file.txt", "data.json", "output.json",
+]
+
+
+def file_mentions(enriched: DataFrame, generic: list[str] = GENERIC_FILES, short: int = 12) -> DataFrame:
+    """session_id, file, n: messages that name a file, without generic names and short ones that are part of another name of the session."""
     named = enriched.where("not is_protocol").select("session_id", F.explode("files").alias("file")).groupBy("session_id", "file").agg(F.count("*").alias("n"))
     other = named.select("session_id", F.col("file").alias("longer"))
+    named = named.where(~F.lower("file").isin(generic))
     base = F.length(F.regexp_replace("file", r"\.[^.]*$", ""))
-    return named.join(other, (named.session_id == other.session_id) & (base <= 12) & F.col("longer").contains(F.col("file")) & (F.col("longer") != F.col("file")), "left_anti")
+    return named.join(other, (named.session_id == other.session_id) & (base <= short) & F.col("longer").contains(F.col("file")) & (F.col("longer") != F.col("file")), "left_anti")
+
+
+def top_files(mentions: DataFrame, k: int = 30) -> DataFrame:
+    """The k files of each session that most messages name, with rank."""
+    rank = F.row_number().over(W.partitionBy("session_id").orderBy(F.col("n").desc(), "file"))
+    return mentions.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def tier_examples(enriched: DataFrame, k: int = 3, characters: int = 100) -> DataFrame:
+    """session_id, filter_tier, examples: the beginnings of the first k messages of each tier."""
+    rank = F.row_number().over(W.partitionBy("session_id", "filter_tier").orderBy("idx"))
+    first = enriched.select("session_id", "filter_tier", "idx", F.substring("content", 1, characters).alias("preview")).withColumn("r", rank).where(F.col("r") <= k)
+    return first.groupBy("session_id", "filter_tier").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "preview"))), lambda x: x["preview"]).alias("examples"))
 
 
 def subsets(enriched: DataFrame) -> dict[str, DataFrame]:

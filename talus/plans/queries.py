@@ -267,7 +267,7 @@ def mention_windows(spark, d):
 def mentions_contains(spark, d):
     words = read(spark, d, "benchmark").select("item_id", F.lower(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(2)), F.split_part("text", F.lit(" "), F.lit(3)))).alias("w"))
     docs = read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    return docs.join(words, F.col("t").contains(F.col("w"))).select("doc_id", "item_id").distinct()
+    return R.contains_join(docs, words, "t", "w").select("doc_id", "item_id").distinct()
 
 
 # --- aggregates, windows, top-k

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.functions import text as T
-from talus.operators import behavior, dossier, messages, normalize, sessions, synthesis, tags, threads
+from talus.operators import aggregate, behavior, briefs, dossier, messages, normalize, relational, sessions, synthesis, tags, threads
 
 rows = lambda df, *cols: sorted((tuple(r[c] for c in (cols or df.columns)) for r in df.collect()), key=str)
 
@@ -256,3 +256,80 @@ def test_repaired_leaves_valid_json_alone(spark):
     df = spark.createDataFrame([('{"a": 1}',), ('{"a": [1, 2,]',), ("no json",), (None,)], "t string")
     got = [r.v for r in df.select(normalize.repaired(F.col("t")).alias("v")).collect()]
     assert got[0] == '{"a": 1}' and json.loads(got[1]) == {"a": [1, 2]} and got[2:] == [None, None]
+
+
+def test_contains_join(spark):
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["abcdefgh", "xyz", "", None, "aab", "abcdef"])], "k int, t string")
+    names = spark.createDataFrame([("abcdefg",), ("ab",), ("z",), ("",), (None,), ("bcdefghi",), ("abcdef",)], "n string")
+    want = sorted((k, n) for k, t in texts.collect() for (n,) in names.collect() if t and n and n in t)
+    assert rows(relational.contains_join(texts, names, "t", "n"), "k", "n") == want
+    assert rows(relational.contains_join(texts, names, "t", "n", how="left_semi"), "k") == sorted({(k,) for k, _ in want})
+    assert relational.contains_join(texts, names.limit(0), "t", "n").count() == 0
+
+
+def test_generic_and_short_names_are_no_files(spark):
+    said = [("s", 0, "user", "see main.py and io.py and my_io.py"), ("s", 1, "user", "io.py my_io.py a_long_file_name.py"), ("s", 2, "assistant", "my_io.py")]
+    df = messages.enrich(spark.createDataFrame(said, "session_id string, idx int, role string, content string"))
+    assert rows(messages.file_mentions(df), "file", "n") == [("a_long_file_name.py", 1), ("my_io.py", 3)]
+    assert rows(messages.top_files(messages.file_mentions(df), 1), "file") == [("my_io.py",)]
+    first = {r.filter_tier: r.examples for r in messages.tier_examples(df, 1, 8).collect()}
+    assert first and all(x in (["see main"], ["io.py my"], ["my_io.py"]) for x in first.values())
+
+
+def test_totals(spark):
+    merged = spark.createDataFrame([("a", 1, None), ("a", None, None), ("a", 2, 3)], "session_id string, one int, two int")
+    usage = spark.createDataFrame([("a", 0.5), ("a", 0.25)], "session_id string, cost double")
+    assert rows(aggregate.merge_totals(merged, ["one", "two"], usage), "total_messages", "with_result", "without_result", "passes", "cost") == [(3, 2, 1, ["one", "two"], 0.75)]
+    some = spark.createDataFrame([("2024-01-01", "small", 10, 5, 2, 3, False), ("2024-01-01", "big", 90, 50, 20, 30, True), (None, "big", 1, 1, 1, 0, False)], "date string, size_class string, size_bytes long, total_messages long, user_messages long, assistant_messages long, is_agent boolean")
+    got = {(r.section, r.name): (r.n, r.bytes) for r in aggregate.session_totals(some).collect()}
+    assert got["day", "2024-01-01"] == (2, 100) and got["size", "big"] == (2, 91) and got["total", "agent_sessions"] == (1, 101) and got["total", "total_messages"] == (56, 101)
+    seen = spark.createDataFrame([("a", "f", {"p": "x", "q": ""}, ["g", "h"]), ("b", "f", {"p": "y"}, ["g"])], "session_id string, file string, behavior map<string,string>, related array<string>")
+    assert [(r.pattern, [tuple(s) for s in r.seen]) for r in aggregate.behavior_patterns(seen).collect()] == [("p", [("a", "x"), ("b", "y")])]
+    assert rows(aggregate.related_files(seen)) == [("f", ["g", "h"])]
+
+
+def test_briefs(spark):
+    files = spark.createDataFrame([("src/plan.py",), ("none.py",)], "file string")
+    families = spark.createDataFrame([(1, "late", [("plan.py", "on", 1)]), (0, "early", [("old_plan_v1.py", "off", 2), ("x.py", "on", 1)])], "position int, concept string, members array<struct<file:string,status:string,session_count:int>>")
+    own = briefs.family(files, families)
+    assert rows(own, "file", "concept", "version_count") == [("src/plan.py", "early", 2)]
+    pairs = spark.createDataFrame([("a/plan.py", "b.py", 0.51234, "p"), ("c.py", "plan.py", 0.9, "q"), ("plan.py", "plan.py2", 0.1, "r"), ("d.py", "e.py", 1.0, "s")], "file_a string, file_b string, score double, pattern string")
+    assert rows(briefs.most_similar(files, pairs, 2), "file", "similar_to", "score", "rank") == [("src/plan.py", "b.py", 0.512, 2), ("src/plan.py", "c.py", 0.9, 1)]
+    history = spark.createDataFrame([("f", 0, "s1"), ("f", 1, "s1"), ("f", 2, "s2"), ("f", 3, "s3"), ("g", 0, "s1")], "file string, position int, session_id string")
+    upset = spark.createDataFrame([("f", "s3", 4, 0.9), ("f", "s1", 8, 0.5), ("g", "s1", 2, 0.7)], "file string, session_id string, idx int, caps_ratio double")
+    got = rows(briefs.directives(history, upset), "file", "rank", "directive")
+    assert got == [("f", 1, '@evidence:file_timeline(file="f") [session:s1]'), ("f", 2, '@evidence:file_timeline(file="f") [session:s2]'), ("f", 3, "@evidence:reaction_log(range=[0,14]) [session:s3]"), ("g", 1, '@evidence:file_timeline(file="g") [session:s1]')]
+    arcs = spark.createDataFrame([("f", "s1", None, "up", 2)], "file string, session_id string, dominant_emotion string, session_arc string, friction_episodes int")
+    stories = spark.createDataFrame([("f", 0, "s1", "told"), ("f", 1, "s2", "x" * 300)], "file string, position int, session_id string, arc string")
+    assert rows(briefs.emotional_trend(arcs, stories)) == [("f", "s1", "unknown", "up", 2), ("f", "s2", "inferred_from_arc", "x" * 200, 0)]
+    made = spark.createDataFrame([("f", "s1", "chose a")], "file string, session_id string, decision string")
+    patterns = spark.createDataFrame([("f", "Decisions", "s2", "v"), ("f", "other", "s2", "w")], "file string, pattern string, session_id string, value string")
+    assert rows(briefs.decision_trajectory(made, patterns)) == [("f", "s1", "chose a", None), ("f", "s2", "v", "Decisions")]
+    points = spark.createDataFrame([("src/plan.py", "confidence_history", "s1", "c"), ("src/plan.py", "evidence_blocks", "s1", "12345"), ("src/plan.py", "emotional_trend", "s2", "e"), ("src/plan.py", "timeline", "s3", "t")], "file string, kind string, session_id string, content string")
+    assert rows(briefs.compare(points, own), "version", "data_points", "sessions", "rendered_characters", "family_depth") == [("A", 2, 1, 5, 2), ("B", 3, 2, 5, 2), ("C", 4, 3, 5, 2)]
+
+
+def test_writer_selections(spark):
+    concerns = spark.createDataFrame([("s", "f.py", "warning", "W1"), ("s", "f.py", "recommendation", "R1")], "session_id string, file string, kind string, id string")
+    marks = spark.createDataFrame([("s", "W1", "w"), ("s", "R1", "r"), ("t", "W1", "other")], "session_id string, id string, text string")
+    assert rows(briefs.by_ids(marks, concerns, "warning"), "file", "text") == [("f.py", "w")]
+    graphs = spark.createDataFrame([("s", "f.py", "A")], "session_id string, file string, name string")
+    members = spark.createDataFrame([("s", "A", "n1"), ("s", "A", "n2"), ("s", "B", "n3")], "session_id string, name string, id string")
+    nodes = spark.createDataFrame([("s", f"n{k}") for k in range(1, 5)], "session_id string, id string")
+    chosen = briefs.ideas(graphs, members, nodes)
+    assert rows(chosen, "file", "id") == [("f.py", "n1"), ("f.py", "n2")]
+    edges = spark.createDataFrame([("s", "n1", "n2"), ("s", "n3", "n1"), ("s", "n3", "n4")], "session_id string, src string, dst string")
+    assert rows(briefs.idea_edges(chosen, edges), "file", "src", "dst") == [("f.py", "n1", "n2"), ("f.py", "n3", "n1")]
+    registry = spark.createDataFrame([("s", n, f"r{n}") for n in (1, 2, 3, 4, 5)], "session_id string, rule_number int, rule string")
+    mine = spark.createDataFrame([("s", "marker.py", None, []), ("s", "f.py", "never", ["W12"])], "session_id string, file string, story string, warning_ids array<string>")
+    assert rows(briefs.rules(registry, mine), "file", "rule_number") == [("f.py", 1), ("f.py", 2), ("f.py", 5), ("marker.py", 1), ("marker.py", 2), ("marker.py", 4)]
+
+
+def test_flags_over_a_whole_session_are_those_of_a_wide_context(spark):
+    said = [
+        ("user", "please fix plan.py"), ("assistant", "error in plan.py, it failed"), ("assistant", "parser works now and the build is complete"), ("user", "hm"), ("user", "and?"), ("user", "well"), ("user", "go on"), ("user", "now"), ("user", "ok"),
+        ("assistant", "I modified plan.py again"), ("assistant", "parser doesn't work"), ("assistant", "wrote new.py"), *[("assistant", f"step {k}") for k in range(5)], ("assistant", "parser does not work, updated plan.py"),
+    ]
+    df = spark.createDataFrame([("s", k, r, t) for k, (r, t) in enumerate(said)] + [("t", 0, "assistant", "modified plan.py")], "session_id string, idx int, role string, content string")
+    wide, whole = (rows(behavior.flags(df, c), "session_id", "idx", "contradicts_self", "repeats_failed", "ignores_context", "upset_score") for c in (1000, None))
+    assert wide == whole and {x[1] for x in whole if x[3]} == {9, 17} and {x[1] for x in whole if x[2]} == {10}
