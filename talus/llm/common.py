@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut  # noqa: F401  the operators' C.cut
+
 U64 = np.uint64
 #: Bytes of text that numpy works on at once; a longer document is one slice of its own.
 SLICE_BYTES = 1 << 20
@@ -31,40 +29,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset and the master is local (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return (found or "file:/tmp/talus-checkpoints").rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/talus-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession) -> None:
-    """Delete the tables that cut() wrote in this session."""
-    while _written:
-        session, path = _written.pop()
-        try:
-            where = session._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the JVM may have gone
-            return
-
-
-atexit.register(lambda: discard(None))
-
-
 def held_out(doc_id: str, mod: int, rest: int):
     """Whether crc32 of the id as text leaves this remainder."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest
