@@ -45,22 +45,25 @@ def coalesce_join(df: DataFrame, side: DataFrame, keys: list[tuple[Column, Colum
     return out.withColumns({v: F.coalesce(*cols) for v, cols in found.items()}).drop(*drop)
 
 
-def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 6, how: str = "inner") -> DataFrame:
+#: Names that contains_join() gives to every task; more of them meet the texts by a shuffle.
+FEW_NAMES = 1000
+
+
+def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 6, how: str = "inner", few: int = FEW_NAMES) -> DataFrame:
     """Pairs of rows where the text contains the name, letter case included; a null or empty name stands nowhere.
 
-    An equi-join: a text that contains a name contains the name's first gram characters, so rows meet by those (all of
-    a shorter name) and are compared then. Nothing is compared with everything, and neither side is broadcast for it.
+    Up to few names (counted first) go to the tasks. Beyond that the pairs meet in an equi-join: a text that contains a name
+    contains the name's first gram characters (all of a shorter one), so rows are dealt by those and compared then.
     """
+    named, hit = names.where(F.length(name) > 0), F.col(text).contains(F.col(name))
+    if named.limit(few + 1).count() <= few:
+        return texts.join(F.broadcast(named), hit, how)
     size = F.length(F.col(text))
     cut = lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n))), lambda x: F.length(x) == n)
-    lengths = sorted({r.n for r in names.select(F.least(F.length(name), F.lit(gram)).alias("n")).where("n > 0").distinct().collect()})  # at most gram rows
-    grams = F.array_distinct(F.concat(*(cut(n) for n in lengths))) if lengths else F.array().cast("array<string>")
-    left = texts.withColumn("__key", F.explode(grams))
-    right = names.where(F.length(name) > 0).withColumn("__key", F.substring(F.col(name), 1, gram))
-    if how == "left_semi":
-        keep = texts.columns
-        return left.join(right, "__key").where(F.col(text).contains(F.col(name))).select(*keep).distinct()
-    return left.join(right, "__key").where(F.col(text).contains(F.col(name))).drop("__key")
+    lengths = sorted(r.n for r in named.select(F.least(F.length(name), F.lit(gram)).alias("n")).distinct().collect())  # at most gram rows
+    left = texts.withColumn("__key", F.explode(F.array_distinct(F.concat(*(cut(n) for n in lengths)))))
+    found = left.join(named.withColumn("__key", F.substring(F.col(name), 1, gram)), "__key").where(hit)
+    return found.select(*texts.columns).distinct() if how == "left_semi" else found.drop("__key")
 
 
 def basename(path: Column) -> Column:

@@ -110,7 +110,15 @@ def token_batches(spark, d):
     return M.batches(messages(spark, d), 3).select("session_id", "idx", "batch")
 
 
-@query()
+_FULL = "r.used + t.tokens > 400 OR r.n >= 40"
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT conv_id AS session_id, turn AS idx, CAST(floor((length(text) + 50) / 3.5) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+r AS (SELECT session_id, idx, k, tokens AS used, 1 AS n, 0 AS batch FROM t WHERE k = 1 UNION ALL
+ SELECT t.session_id, t.idx, t.k, CASE WHEN {_FULL} THEN t.tokens ELSE r.used + t.tokens END, CASE WHEN {_FULL} THEN 1 ELSE r.n + 1 END, CASE WHEN {_FULL} THEN r.batch + 1 ELSE r.batch END FROM r JOIN t ON t.session_id = r.session_id AND t.k = r.k + 1)
+SELECT session_id, idx, CAST(batch AS INTEGER) AS batch FROM r"""
+)
 def budget_batches(spark, d):
     return M.token_batches(messages(spark, d), 400)
 
@@ -169,7 +177,15 @@ def thread_summary(spark, d):
     return threads.summary(threads.extract(B.flags(enriched(spark, d))))
 
 
-@query()
+@query(
+    f"""WITH {S.features()}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS rn FROM f),
+u AS (SELECT a.session_id, a.idx, u.content, row_number() OVER (PARTITION BY a.session_id, a.idx ORDER BY u.idx DESC) AS k FROM n a JOIN n u ON u.session_id = a.session_id AND u.role = 'user' AND u.rn BETWEEN a.rn - 9 AND a.rn - 1),
+b AS (SELECT session_id, idx, string_agg(content, chr(10) ORDER BY k) AS before FROM u WHERE k <= 2 GROUP BY ALL),
+l AS (SELECT n.session_id, n.idx, '[' || n.idx || '] ' || role || ': ' || content || CASE WHEN coalesce(before, '') <> '' THEN chr(10) || '  after: ' || before ELSE '' END AS line,
+ CAST((row_number() OVER (PARTITION BY n.session_id ORDER BY n.idx) - 1) // 30 AS INTEGER) AS batch FROM n LEFT JOIN b USING (session_id, idx) WHERE protocol_type IS NULL AND filter_tier >= 2 AND role = 'assistant'),
+g AS (SELECT session_id, batch, 'Label each message.' || chr(10) || string_agg(line, chr(10) ORDER BY idx) AS prompt, count(*) AS n FROM l GROUP BY ALL)
+SELECT session_id, batch, n, CAST(floor((length(prompt) + 50) / 3.5) AS INTEGER) AS tokens, sha256(prompt) AS prompt_hash FROM g"""
+)
 def pass_prompts(spark, d):
     return llm_passes.prompts(enriched(spark, d), "behavior", "Label each message.").select("session_id", "batch", "n", "tokens", F.sha2("prompt", 256).alias("prompt_hash"))
 
@@ -386,14 +402,19 @@ def frustration_files(spark, d):
 
 
 def _brands(spark, d) -> DataFrame:
+    """Fingerprints of brands: parts are functions, types imports, sizes constants, first words classes; the source lists the types and sizes."""
     p = read(spark, d, "part")
-    return p.groupBy(F.col("p_brand").alias("file")).agg(F.collect_set("p_name").alias("callables"), F.collect_set("p_type").alias("imports"), F.collect_set(F.concat(F.lit("S"), F.col("p_size").cast("string"))).alias("constants")).withColumns({"functions": F.col("callables"), "classes": F.array().cast("array<string>"), "stem_words": F.array().cast("array<string>"), "clean_source": F.lit("")})
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+    sets = {"callables": F.col("p_name"), "imports": F.col("p_type"), "constants": F.concat(F.lit("S"), F.col("p_size").cast("string")), "classes": word}
+    source = F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "p_type", (F.col("p_size") % 5).cast("string")))), "\n")
+    prints = p.groupBy(F.col("p_brand").alias("file")).agg(*(F.collect_set(c).alias(k) for k, c in sets.items()), source.alias("clean_source"))
+    return prints.withColumns({"functions": F.col("callables"), "stem_words": F.split(F.lower("file"), "#")})
 
 
 _J = "CASE WHEN len(list_distinct(list_concat(a.{0}, b.{0}))) > 0 THEN len(list_intersect(a.{0}, b.{0})) / len(list_distinct(list_concat(a.{0}, b.{0}))) ELSE 0.0 END"
 
 
-@query(f"WITH p AS (SELECT p_brand AS file, list_distinct(list(p_name)) AS f, list_distinct(list(p_type)) AS i, list_distinct(list('S' || p_size)) AS c FROM part GROUP BY 1), j AS (SELECT a.file AS file_a, b.file AS file_b, {_J.format('f')} AS fo, {_J.format('i')} AS io, {_J.format('c')} AS co, len(list_intersect(a.f, b.f)) AS shared, len(list_intersect(a.f, b.f)) / len(a.f) AS ab FROM p a JOIN p b ON a.file < b.file) SELECT file_a, file_b, round(fo, 6) AS func_overlap, round(io, 6) AS import_overlap, round(co, 6) AS constant_overlap, round(ab, 6) AS containment_a_in_b, CAST(shared AS INTEGER) AS shared, round(fo * 5 + io + co, 6) AS signal_score FROM j WHERE fo > 0 OR io > 0 OR co > 0")
+@query(f"WITH p AS (SELECT p_brand AS file, list_distinct(list(p_name)) AS f, list_distinct(list(p_type)) AS i, list_distinct(list('S' || p_size)) AS c, list_distinct(list(split_part(p_name, ' ', 1))) AS k, string_split(lower(p_brand), '#') AS w FROM part GROUP BY 1), j AS (SELECT a.file AS file_a, b.file AS file_b, {_J.format('f')} AS fo, {_J.format('i')} AS io, {_J.format('c')} AS co, {_J.format('k')} AS ko, {_J.format('w')} AS wo, len(list_intersect(a.f, b.f)) AS shared, len(list_intersect(a.f, b.f)) / len(a.f) AS ab FROM p a JOIN p b ON a.file < b.file) SELECT file_a, file_b, round(fo, 6) AS func_overlap, round(io, 6) AS import_overlap, round(co, 6) AS constant_overlap, round(ab, 6) AS containment_a_in_b, CAST(shared AS INTEGER) AS shared, round(fo * 5 + 2 * ko + io + co + wo, 6) AS signal_score FROM j WHERE fo > 0 OR io > 0 OR co > 0 OR ko > 0 OR wo > 0")
 def name_overlaps(spark, d):
     s = similarity.pair_signals(_brands(spark, d), text_threshold=1e9)
     r = lambda c: F.round(c, 6).alias(c)
@@ -403,20 +424,24 @@ def name_overlaps(spark, d):
 @query()
 def similarity_patterns(spark, d):
     prints = _brands(spark, d)
-    return similarity.pattern_counts(similarity.matches(similarity.pair_signals(prints, text_threshold=1e9)))
+    return similarity.pattern_counts(similarity.matches(similarity.pair_signals(prints)))
 
 
 @query()
 def similarity_files(spark, d):
     prints = _brands(spark, d)
-    return similarity.file_statistics(similarity.matches(similarity.pair_signals(prints, text_threshold=1e9)), prints)
+    return similarity.file_statistics(similarity.matches(similarity.pair_signals(prints)), prints)
 
 
 @query()
 def text_similarity(spark, d):
+    """All items of the benchmark that share a word of eight letters or more."""
     b = read(spark, d, "benchmark")
-    pairs = b.alias("a").join(b.select(F.col("item_id").alias("other_id"), F.col("text").alias("other")), (F.col("other_id") - F.col("item_id")).between(1, 3))
-    return pairs.select("item_id", "other_id", F.round(similarity.text_similarity(F.col("text"), F.col("other")), 3).alias("ratio"))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 8))
+    prints = b.select(F.col("item_id").alias("file"), words.alias("callables"))
+    pairs = similarity.candidates(prints, ("callables",))
+    both = pairs.join(b.select(F.col("item_id").alias("file_a"), F.col("text").alias("a")), "file_a").join(b.select(F.col("item_id").alias("file_b"), F.col("text").alias("b")), "file_b")
+    return both.select(F.col("file_a").alias("item_id"), F.col("file_b").alias("other_id"), F.round(similarity.text_similarity(F.col("a"), F.col("b")), 3).alias("ratio"))
 
 
 @query("WITH n AS (SELECT DISTINCT p_name AS file FROM part), s AS (SELECT file, string_split(replace(file, ' ', '_') || '_part', '_') AS p FROM n) SELECT file, array_to_string(p, '_') AS longest, CAST(len(p) * (len(p) - 1) // 2 AS INTEGER) AS stems FROM s")
@@ -426,12 +451,13 @@ def bigram_stems(spark, d):
     return n.select("file", F.element_at(stems, -1).alias("longest"), F.size(stems).alias("stems"))
 
 
-_LINES = "t AS (SELECT user_id AS file, min(event_id // 100) AS first, max(event_id // 100) AS last FROM events GROUP BY 1)"
+#: A block of events is a file, which some users' events make longer.
+_LINES = "t AS (SELECT event_id // 40 AS file, min(event_id // 10 + user_id % 3) AS first, max(event_id // 10 + user_id % 3) AS last FROM events GROUP BY 1)"
 
 
 @query(f"WITH {_LINES}, j AS (SELECT least(a.file, b.file) AS from_file, greatest(a.file, b.file) AS to_file, b.first - a.last AS gap FROM t a JOIN t b ON a.file <> b.file AND b.first - a.last BETWEEN 1 AND 5) SELECT from_file, to_file, min(gap) AS gap FROM j GROUP BY 1, 2")
 def temporal_succession(spark, d):
-    lines = genealogy.timelines(read(spark, d, "events").select(F.col("user_id").alias("file"), F.floor(F.col("event_id") / 100).alias("idx")))
+    lines = genealogy.timelines(read(spark, d, "events").select(F.floor(F.col("event_id") / 40).alias("file"), (F.floor(F.col("event_id") / 10) + F.col("user_id") % 3).alias("idx")))
     return genealogy.temporal_links(lines).select("from_file", "to_file", "gap")
 
 

@@ -258,13 +258,14 @@ def test_repaired_leaves_valid_json_alone(spark):
     assert got[0] == '{"a": 1}' and json.loads(got[1]) == {"a": [1, 2]} and got[2:] == [None, None]
 
 
-def test_contains_join(spark):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_contains_join(spark, few):
     texts = spark.createDataFrame([(k, t) for k, t in enumerate(["abcdefgh", "xyz", "", None, "aab", "abcdef"])], "k int, t string")
     names = spark.createDataFrame([("abcdefg",), ("ab",), ("z",), ("",), (None,), ("bcdefghi",), ("abcdef",)], "n string")
     want = sorted((k, n) for k, t in texts.collect() for (n,) in names.collect() if t and n and n in t)
-    assert rows(relational.contains_join(texts, names, "t", "n"), "k", "n") == want
-    assert rows(relational.contains_join(texts, names, "t", "n", how="left_semi"), "k") == sorted({(k,) for k, _ in want})
-    assert relational.contains_join(texts, names.limit(0), "t", "n").count() == 0
+    assert rows(relational.contains_join(texts, names, "t", "n", few=few), "k", "n") == want
+    assert rows(relational.contains_join(texts, names, "t", "n", how="left_semi", few=few), "k") == sorted({(k,) for k, _ in want})
+    assert relational.contains_join(texts, names.limit(0), "t", "n", few=few).count() == 0
 
 
 def test_generic_and_short_names_are_no_files(spark):
