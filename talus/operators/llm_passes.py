@@ -6,11 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from . import messages as M
 from . import normalize as N
 from . import relational as R
@@ -77,6 +78,31 @@ def run(asked: DataFrame, client: Callable[[str], str] = offline, retries: int =
     return asked.select("session_id", "batch", "prompt").mapInPandas(call, f"session_id {kind['session_id']}, batch {kind['batch']}, answer string, error string")
 
 
+def recorded(spark: SparkSession, record: str) -> DataFrame | None:
+    """prompt_hash, answer of the prompts that were answered, or None where nothing is recorded yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(record)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(record).where("error is null").groupBy("prompt_hash").agg(F.min("answer").alias("answer"))
+
+
+def run_recorded(asked: DataFrame, record: str, client: Callable[[str], str] = offline, retries: int = 3, parts: int = 10) -> DataFrame:
+    """run(), but what a table at record has an answer for isn't asked again. Answers are added to it part by part, so that what
+    stops in between repeats one part at most; equal prompts are asked once."""
+    spark = asked.sparkSession
+    asked = asked.withColumn("prompt_hash", F.sha2("prompt", 256))
+    known = recorded(spark, record)
+    todo = asked.select("prompt_hash", "prompt").dropDuplicates(["prompt_hash"])
+    todo = todo if known is None else todo.join(known, "prompt_hash", "left_anti")
+    todo = cut(todo)
+    for k in range(parts):
+        part = todo.where(F.pmod(F.xxhash64("prompt_hash"), F.lit(parts)) == k).select(F.col("prompt_hash").alias("session_id"), F.lit(0).alias("batch"), "prompt")
+        run(part, client, retries).select(F.col("session_id").alias("prompt_hash"), "answer", "error").write.mode("append").parquet(record)
+    answers = spark.read.parquet(record).groupBy("prompt_hash").agg(F.min("answer").alias("answer"), F.max("error").alias("__error"))
+    out = asked.select("session_id", "batch", "prompt_hash").join(answers, "prompt_hash", "left")
+    return out.select("session_id", "batch", "answer", F.when(F.col("answer").isNull(), F.col("__error")).alias("error"))
+
+
 def results(answers: DataFrame) -> DataFrame:
     """session_id, batch, msg_index, label, reason of all answers; flagged where the label isn't none."""
     rows = answers.select("session_id", "batch", F.explode(N.parse_response(F.col("answer"), ANSWER)).alias("r")).select("session_id", "batch", "r.*")

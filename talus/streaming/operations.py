@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import relational as R
 from ..operators import similarity
 
 EVENT = "session_id string, tool_name string, tool_input struct<file_path:string,old_string:string,new_string:string,content:string,command:string>, ts timestamp"
@@ -40,8 +41,8 @@ def buffer_statistics(buffer: DataFrame) -> DataFrame:
     return buffer.groupBy("session_id").agg(F.count("*").alias("operations"), F.countDistinct("file").alias("files"))
 
 
-def notices(stream: DataFrame, every: int = 10, timeout: str | None = "1 day") -> DataFrame:
-    """session_id, n each time a session's count of events passes a multiple of every."""
+def notices(stream: DataFrame, every: int = 10, idle_ms: int | None = 86_400_000) -> DataFrame:
+    """session_id, n for each multiple of every that a session's count of events passes. The count of a session that is idle for idle_ms starts again; None keeps it."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,12 +52,13 @@ def notices(stream: DataFrame, every: int = 10, timeout: str | None = "1 day") -
         for b in batches:
             n += len(b)
         state.update((n,))
-        if timeout:
-            state.setTimeoutDuration(86_400_000)
-        if n // every > before // every:
-            yield pd.DataFrame({"session_id": [key[0]], "n": [n // every * every]})
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        passed = list(range((before // every + 1) * every, n + 1, every))
+        if passed:
+            yield pd.DataFrame({"session_id": [key[0]] * len(passed), "n": passed})
 
-    return stream.groupBy("session_id").applyInPandasWithState(run, "session_id string, n int", "n int", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
+    return stream.groupBy("session_id").applyInPandasWithState(run, "session_id string, n int", "n int", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def track(stream: DataFrame, churn: int = CHURN, idle_ms: int = 86_400_000) -> DataFrame:
@@ -96,17 +98,24 @@ def track_batch(ops: DataFrame, churn: int = CHURN) -> DataFrame:
     return each.groupBy("session_id").agg(F.sum("n").alias("ops"), F.sum("e").alias("edits"), F.sum("w").alias("writes"), F.count("file").alias("distinct_files"), F.sort_array(F.collect_list(F.when(F.col("n") > churn, F.col("file")))).alias("churn"))
 
 
+def cached_fingerprints(spark: SparkSession, cache_path: str, before: int | None = None) -> DataFrame:
+    """The newest fingerprint of each file of a cache that similarity_alerts() keeps; before: as it was when that batch began."""
+    every = spark.read.parquet(cache_path)
+    return R.last_wins(every if before is None else every.where(F.col("batch") < before), ["file"], "batch").drop("batch")
+
+
 def similarity_alerts(changed: DataFrame, cache_path: str, alerts_path: str, checkpoint: str, least: float = 0.3):
-    """For each micro-batch of changed files (file, source): alerts against the cached fingerprints, which it then updates."""
+    """For each micro-batch of changed files (file, source): alerts against the fingerprints cached so far.
+
+    A batch adds the fingerprints of its own files under its number and touches no others; a batch that runs again writes
+    the same again, and one that stops in between loses nothing.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        prints = similarity.fingerprints(batch.dropDuplicates(["file"]))
-        cached = spark.read.parquet(cache_path)
-        similarity.incremental(prints, cached, least).withColumn("batch", F.lit(number)).write.mode("append").json(alerts_path)
-        kept = cached.join(prints.select("file"), "file", "left_anti").unionByName(prints)
-        kept.write.mode("overwrite").parquet(f"{cache_path}.new")
-        spark.read.parquet(f"{cache_path}.new").write.mode("overwrite").parquet(cache_path)
+        similarity.fingerprints(batch.dropDuplicates(["file"])).write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
+        prints = spark.read.parquet(f"{cache_path}/batch={number}")
+        similarity.incremental(prints, cached_fingerprints(spark, cache_path, number), least).write.mode("overwrite").json(f"{alerts_path}/batch={number}")
 
     return changed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 

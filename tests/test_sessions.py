@@ -2,12 +2,14 @@
 
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from talus.functions import text as T
-from talus.operators import aggregate, behavior, briefs, dossier, messages, normalize, relational, sessions, synthesis, tags, threads
+from talus.operators import aggregate, behavior, briefs, dossier, llm_passes, messages, normalize, relational, sessions, synthesis, tags, threads
+from talus.streaming import operations
 
 rows = lambda df, *cols: sorted((tuple(r[c] for c in (cols or df.columns)) for r in df.collect()), key=str)
 
@@ -334,3 +336,42 @@ def test_flags_over_a_whole_session_are_those_of_a_wide_context(spark):
     df = spark.createDataFrame([("s", k, r, t) for k, (r, t) in enumerate(said)] + [("t", 0, "assistant", "modified plan.py")], "session_id string, idx int, role string, content string")
     wide, whole = (rows(behavior.flags(df, c), "session_id", "idx", "contradicts_self", "repeats_failed", "ignores_context", "upset_score") for c in (1000, None))
     assert wide == whole and {x[1] for x in whole if x[3]} == {9, 17} and {x[1] for x in whole if x[2]} == {10}
+
+
+def test_answered_prompts_are_not_asked_again(spark, tmp_path):
+    asked = spark.createDataFrame([("a", 0, "one"), ("a", 1, "two"), ("b", 0, "one"), ("b", 1, "bad")], "session_id string, batch int, prompt string")
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def client(prompt):
+        (log / f"{prompt}-{time.time_ns()}").touch()
+        if prompt == "bad":
+            raise ValueError("no")
+        return prompt.upper()
+
+    record = f"file:{tmp_path}/answers"
+    first = llm_passes.run_recorded(asked, record, client, retries=1, parts=2)
+    assert rows(first) == [("a", 0, "ONE", None), ("a", 1, "TWO", None), ("b", 0, "ONE", None), ("b", 1, None, "no")]
+    llm_passes.run_recorded(asked, record, client, retries=1, parts=2).collect()
+    assert sorted(f.name.split("-")[0] for f in log.iterdir()) == ["bad", "bad", "one", "two"]
+
+
+def test_notices_of_every_multiple_and_alerts_by_batch(spark, tmp_path):
+    src = tmp_path / "events"
+    src.mkdir()
+    (src / "a.json").write_text("\n".join(json.dumps({"session_id": "s", "ts": "2024-01-01T00:00:00Z", "tool_name": "Edit", "tool_input": {"file_path": "f.py"}}) for _ in range(23)))
+    seen = []
+    stream = operations.notices(operations.events(spark, str(src)), 10)
+    operations.run_once(stream.writeStream.foreachBatch(lambda b, _: seen.extend(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c1")))
+    assert sorted(r.n for r in seen) == [10, 20]
+    files = tmp_path / "files"
+    files.mkdir()
+    cache, alerts = str(tmp_path / "cache"), str(tmp_path / "alerts")
+    source = "import os\nimport json\n\ndef load(x):\n    return json.load(x)\n\ndef save(x, y):\n    return json.dump(x, y)\n"
+    for n, name in enumerate(("one.py", "two.py")):
+        (files / f"{n}.json").write_text(json.dumps({"file": name, "source": source}))
+        changed = spark.readStream.schema("file string, source string").json(str(files))
+        operations.run_once(operations.similarity_alerts(changed, cache, alerts, str(tmp_path / "c2")))
+    assert rows(operations.cached_fingerprints(spark, cache), "file") == [("one.py",), ("two.py",)] and operations.cached_fingerprints(spark, cache, 1).count() == 1
+    found = spark.read.json(alerts)
+    assert found.where("batch = 1").count() >= 1
