@@ -33,7 +33,7 @@ from . import common as C
 
 K, SEGMENT, QUERY_STEP = 10, 16, 20
 #: Codes in a block of the index, at most; smaller blocks of LEAST_ROWS at least where that gives work to up to TASKS tasks.
-INDEX_ROWS, LEAST_ROWS, TASKS = 500_000, 5_000, 32
+INDEX_ROWS, LEAST_ROWS, TASKS = 500_000, 50_000, 32
 #: Candidates that are verified at once.
 BATCH = 1 << 20
 
