@@ -33,7 +33,7 @@ def hollow(content: Column) -> Column:
     """Over half, and three at least, of four or more paragraphs of over 50 characters open with the same three words."""
     paragraphs = F.filter(F.transform(F.split(content, "\n\n"), lambda p: F.trim(p)), lambda p: F.length(p) > 50)
     openings = F.transform(paragraphs, lambda p: F.array_join(F.slice(F.split(p, r"\s+"), 1, 3), " "))
-    most = F.array_max(F.transform(F.array_distinct(openings), lambda o: F.size(F.filter(openings, lambda x: x == o))))
+    most = T.let(openings, lambda all_: F.array_max(F.transform(F.array_distinct(all_), lambda o: F.size(F.filter(all_, lambda x: x == o)))))
     return F.coalesce((F.length(content) > 500) & (F.size(paragraphs) >= 4) & (most >= 3) & (most / F.size(paragraphs) > 0.5), F.lit(False))
 
 

@@ -26,7 +26,7 @@ def _n(name: str) -> Column:
 
 
 def action(lex: dict = L.ACTION) -> Column:
-    low, user = F.lower("content"), F.col("role") == "user"
+    low, user = F.col("low"), F.col("role") == "user"
     says = {k: T.any_of(v, low) for k, v in lex.items()}
     creating = F.size("files_create") > 0
     steps = [
@@ -39,14 +39,14 @@ def action(lex: dict = L.ACTION) -> Column:
 
 
 def confidence(lex: dict = L.CONFIDENCE) -> Column:
-    low = F.lower("content")
+    low = F.col("low")
     steps = [(T.any_of(words, low), name) for name, words in lex.items()]
     steps += [(F.col("overconfident"), "working"), (F.col("confusion") | F.col("assumptions"), "tentative"), (F.col("error") | (_n("failure") >= 2), "fragile"), (_n("code") >= 15, "working")]
     return _ladder(steps, F.lit("tentative"))
 
 
 def emotion(lex: dict = L.EMOTION) -> Column:
-    low, user, caps, bad = F.lower("content"), F.col("role") == "user", F.col("caps_ratio"), F.col("profanity")
+    low, user, caps, bad = F.col("low"), F.col("role") == "user", F.col("caps_ratio"), F.col("profanity")
     says = {k: T.any_of(v, low) for k, v in lex.items()}
     steps = [
         (bad | F.col("emergency") | (caps > 0.5) | (_n("frustration") >= 3), "frustrated"), (((F.col("exclamations") >= 2) & says["excited"]) | (low.contains("love") & user), "excited"), (says["relieved"] & ~bad, "relieved"),
@@ -57,7 +57,7 @@ def emotion(lex: dict = L.EMOTION) -> Column:
 
 
 def intent(lex: dict = L.INTENT) -> Column:
-    low = F.lower("content")
+    low = F.col("low")
     says = {k: T.any_of(v, low) for k, v in lex.items()}
     steps = [
         (F.col("error") | F.col("traceback") | (_n("failure") >= 3) | (says["bugfix"] & ~says["not_bugfix"]), "bugfix"), (says["cleanup"], "cleanup"), (says["exploration"] | (_n("architecture") >= 4), "exploration"), (says["correctness"], "correctness"),
@@ -106,7 +106,7 @@ KNOWN_DECISIONS = [
 
 def decision(rules: list = DECISIONS, known: list = KNOWN_DECISIONS) -> Column:
     """chose X over Y because Z, by the first rule that matches, else a known decision by its words, or null."""
-    low, out = F.lower("content"), F.lit(None).cast("string")
+    low, out = F.col("low"), F.lit(None).cast("string")
     for words, choices, text in reversed(known):
         said = [low.contains(w) for w in words] + [T.any_of(some, low) for some in choices]
         out = F.when(reduce(lambda a, b: a & b, said), text).otherwise(out)
@@ -120,7 +120,9 @@ def decision(rules: list = DECISIONS, known: list = KNOWN_DECISIONS) -> Column:
 def tag(enriched: DataFrame) -> DataFrame:
     """session_id, idx, role and the tags of each message that isn't protocol."""
     flags = {k: F.lit(False) for k in [*L.BEHAVIOR, *FRICTION_FLAGS] if k not in enriched.columns}
-    return enriched.withColumns(flags).where("not is_protocol").select("session_id", "idx", "role", action().alias("action_vector"), confidence().alias("confidence_signal"), emotion().alias("emotional_tenor"), intent().alias("intent_marker"), friction().alias("friction_log"), decision().alias("decision_trace"))
+    # a column of its own, so that it is computed once for all rules
+    enriched = enriched.withColumns(flags).withColumn("low", F.lower("content"))
+    return enriched.where("not is_protocol").select("session_id", "idx", "role", action().alias("action_vector"), confidence().alias("confidence_signal"), emotion().alias("emotional_tenor"), intent().alias("intent_marker"), friction().alias("friction_log"), decision().alias("decision_trace"))
 
 
 def distributions(tags: DataFrame) -> DataFrame:
