@@ -21,12 +21,16 @@ def _ladder(steps: list[tuple[Column, str]], rest: Column) -> Column:
     return out.otherwise(rest)
 
 
+def _low(low: Column | None) -> Column:
+    return F.lower("content") if low is None else low
+
+
 def _n(name: str) -> Column:
     return F.col(f"n_{name}")
 
 
-def action(lex: dict = L.ACTION) -> Column:
-    low, user = F.col("low"), F.col("role") == "user"
+def action(lex: dict = L.ACTION, low: Column | None = None) -> Column:
+    low, user = _low(low), F.col("role") == "user"
     says = {k: T.any_of(v, low) for k, v in lex.items()}
     creating = F.size("files_create") > 0
     steps = [
@@ -38,15 +42,15 @@ def action(lex: dict = L.ACTION) -> Column:
     return _ladder(steps, F.lit("modified"))
 
 
-def confidence(lex: dict = L.CONFIDENCE) -> Column:
-    low = F.col("low")
+def confidence(lex: dict = L.CONFIDENCE, low: Column | None = None) -> Column:
+    low = _low(low)
     steps = [(T.any_of(words, low), name) for name, words in lex.items()]
     steps += [(F.col("overconfident"), "working"), (F.col("confusion") | F.col("assumptions"), "tentative"), (F.col("error") | (_n("failure") >= 2), "fragile"), (_n("code") >= 15, "working")]
     return _ladder(steps, F.lit("tentative"))
 
 
-def emotion(lex: dict = L.EMOTION) -> Column:
-    low, user, caps, bad = F.col("low"), F.col("role") == "user", F.col("caps_ratio"), F.col("profanity")
+def emotion(lex: dict = L.EMOTION, low: Column | None = None) -> Column:
+    low, user, caps, bad = _low(low), F.col("role") == "user", F.col("caps_ratio"), F.col("profanity")
     says = {k: T.any_of(v, low) for k, v in lex.items()}
     steps = [
         (bad | F.col("emergency") | (caps > 0.5) | (_n("frustration") >= 3), "frustrated"), (((F.col("exclamations") >= 2) & says["excited"]) | (low.contains("love") & user), "excited"), (says["relieved"] & ~bad, "relieved"),
@@ -56,8 +60,8 @@ def emotion(lex: dict = L.EMOTION) -> Column:
     return _ladder(steps, F.lit("confident"))
 
 
-def intent(lex: dict = L.INTENT) -> Column:
-    low = F.col("low")
+def intent(lex: dict = L.INTENT, low: Column | None = None) -> Column:
+    low = _low(low)
     says = {k: T.any_of(v, low) for k, v in lex.items()}
     steps = [
         (F.col("error") | F.col("traceback") | (_n("failure") >= 3) | (says["bugfix"] & ~says["not_bugfix"]), "bugfix"), (says["cleanup"], "cleanup"), (says["exploration"] | (_n("architecture") >= 4), "exploration"), (says["correctness"], "correctness"),
@@ -104,9 +108,9 @@ KNOWN_DECISIONS = [
 ]
 
 
-def decision(rules: list = DECISIONS, known: list = KNOWN_DECISIONS) -> Column:
+def decision(rules: list = DECISIONS, known: list = KNOWN_DECISIONS, low: Column | None = None) -> Column:
     """chose X over Y because Z, by the first rule that matches, else a known decision by its words, or null."""
-    low, out = F.col("low"), F.lit(None).cast("string")
+    low, out = _low(low), F.lit(None).cast("string")
     for words, choices, text in reversed(known):
         said = [low.contains(w) for w in words] + [T.any_of(some, low) for some in choices]
         out = F.when(reduce(lambda a, b: a & b, said), text).otherwise(out)
@@ -121,8 +125,8 @@ def tag(enriched: DataFrame) -> DataFrame:
     """session_id, idx, role and the tags of each message that isn't protocol."""
     flags = {k: F.lit(False) for k in [*L.BEHAVIOR, *FRICTION_FLAGS] if k not in enriched.columns}
     # a column of its own, so that it is computed once for all rules
-    enriched = enriched.withColumns(flags).withColumn("low", F.lower("content"))
-    return enriched.where("not is_protocol").select("session_id", "idx", "role", action().alias("action_vector"), confidence().alias("confidence_signal"), emotion().alias("emotional_tenor"), intent().alias("intent_marker"), friction().alias("friction_log"), decision().alias("decision_trace"))
+    enriched, low = enriched.withColumns(flags).withColumn("low", F.lower("content")), F.col("low")
+    return enriched.where("not is_protocol").select("session_id", "idx", "role", action(low=low).alias("action_vector"), confidence(low=low).alias("confidence_signal"), emotion(low=low).alias("emotional_tenor"), intent(low=low).alias("intent_marker"), friction().alias("friction_log"), decision(low=low).alias("decision_trace"))
 
 
 def distributions(tags: DataFrame) -> DataFrame:

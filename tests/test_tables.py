@@ -152,7 +152,7 @@ def test_normalizers(spark):
     n = nodes.first()
     assert (n.id, n.message_index, n.confidence) == ("n", 2, "proven") and n.extra["odd"] == "1" and rows(edges, "src", "dst", "type") == [("n", "m", "evolved")]
     assert rows(normalize.geology(one({"micro": [{"observation": "o", "message_range": [1, 4]}], "observations": [{"level": "macro", "text": "t"}]})), "zoom", "lo", "hi", "observation") == [("macro", None, None, "t"), ("micro", 1, 4, "o")]
-    assert rows(normalize.markers(one({"warnings": [{"id": "W1", "warning": "w", "file": "a.py"}]})), "kind", "id", "claim", "target") == [("warning", "W1", "w", "a.py")]
+    assert rows(normalize.markers(one({"warnings": [{"id": "W1", "warning": "w", "target_file": "a.py"}]})), "kind", "id", "claim", "target") == [("warning", "W1", "w", "a.py")]
     assert rows(normalize.dossiers(one({"dossiers": [{"file_path": "a.py"}, {"filename": "unknown"}, "odd"]})), "file") == [("a.py",)] and rows(normalize.dossiers(one({"files": {"b.py": {"x": 1}}})), "file") == [("b.py",)]
     assert rows(normalize.synthesis(one({"passes": {"p1": {"findings": ["f"]}}, "pass_2": ["g"]})), "pass", "finding") == [("p1", "f"), ("pass_2", "g")]
     c = spark.createDataFrame([("idea_graph", '{"nodes": []}'), ("idea_graph", '{"nodes": [1], "edges": []}'), ("x", "[1]")], "kind string, doc string")
