@@ -312,7 +312,7 @@ def train(docs: DataFrame, voc, rounds: int = ROUNDS) -> np.ndarray | None:
         many = max(2, min(FAN_IN, FAN_BYTES // (4 * (3 * STATE + STATE + 1) * voc.value.classes**2)))
         while n > many:
             groups = -(-n // many)
-            models = C.cut(models.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("id")).applyInArrow(_mean, "seen double, w binary, id long"))
+            models = C.cut(models.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("part")).applyInArrow(_mean, "seen double, w binary, id long"))
             n = models.count()
         if n:
             weights = np.frombuffer(_mean(models.toArrow()).column("w")[0].as_py(), np.float32)

@@ -488,6 +488,20 @@ def test_network_gradient(monkeypatch):
         assert (loss[0] - loss[1]) / 0.02 == pytest.approx(full[i], rel=0.02)
 
 
+def test_models_of_many_tasks_are_averaged_in_turns(spark, sf, monkeypatch):
+    """More models than one mean takes: means of means, by tokens seen, are the mean of all."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(9, "doc_id").cache()
+    table = C.fetch(lm.counts(docs))
+    voc = spark.sparkContext.broadcast(lm.Vocabulary(table["h"], table["n"], int(table["n"].sum()), len(table["h"])))
+    flat = lm.train(docs, voc, 1)
+    for many in (2, 4):
+        monkeypatch.setattr(lm, "FAN_IN", many)
+        assert np.allclose(lm.train(docs, voc, 1), flat, rtol=1e-4, atol=1e-6)
+    got = lm.score(docs)
+    assert got.count() == docs.count() and got.where("score < 0").count() == docs.count()
+    docs.unpersist()
+
+
 def test_language_model_odd_rows(odd, none):
     got = lm.score(odd).collect()
     assert len(got) == odd.count() and all(r.n_tokens == 1 for r in got if r.doc_id in (2, 3, 4)) and all(np.isfinite(r.score) for r in got)
