@@ -17,12 +17,17 @@ def alternation(words: list[str]) -> str:
     return "|".join(re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", w) for w in words)
 
 
+def ascii_edges(pattern: str) -> str:
+    """pattern with word edges of ASCII word characters, as RE2 has them; Java's own are of all letters before Java 19 and of ASCII since."""
+    return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+
+
 def count(pattern: str, text: Column) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    return F.regexp_count(text, F.lit(ascii_edges(pattern)))
 
 
 def found(pattern: str, text: Column) -> Column:
-    return F.coalesce(text.rlike(pattern), F.lit(False))
+    return F.coalesce(text.rlike(ascii_edges(pattern)), F.lit(False))
 
 
 def matches(pattern: str, text: Column, group: int = 1) -> Column:
@@ -120,6 +125,18 @@ def repeated_sentence(text: Column) -> Column:
     return F.when(F.length(text) >= 10, first)
 
 
+def repeated(text: Column) -> Column:
+    """The first word, else the first sentence, that stands three times in a row, or null."""
+    return F.coalesce(repeated_word(text), repeated_sentence(text))
+
+
+def repeated_ascii_word(text: Column) -> Column:
+    """The first run of ASCII word characters (at most the last 20) at the end of a word that is the whole next word and begins the one after, upper case, or null."""
+    gap = r"[\t\n\f\r ]+"
+    word = F.regexp_extract(F.lower(text), rf"(?:(?<!\w)|(?=\w{{20}}{gap}))(\w{{2,20}}){gap}\1{gap}\1", 1)
+    return F.when(word != "", F.upper(word))
+
+
 def repeats(text: Column) -> Column:
     """How often the first word, else the first sentence, that stands three times in a row or more stands there; 0 for none."""
     words = F.trim(F.regexp_extract(text, L.PATTERNS["repeat"], 0))

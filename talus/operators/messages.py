@@ -5,6 +5,8 @@ A messages table has session_id, idx, role, content; ts, thinking and model are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,10 +58,10 @@ def content_referential(content: Column, role: Column, counts: dict[str, Column]
     return F.coalesce(some & rules, F.lit(False))
 
 
-def emergency(content: Column, caps: Column, exclamations: Column) -> tuple[Column, Column]:
+def emergency(content: Column, caps: Column, exclamations: Column, repeated: Column | None = None) -> tuple[Column, Column]:
     """(is an emergency intervention, reason): an intervention with urgency, or a phrase repeated three times."""
-    repeated = F.coalesce(T.repeated_word(content), T.repeated_sentence(content))
-    said = F.lower(F.regexp_extract(content, L.EMERGENCY, 0))
+    repeated = T.repeated(content) if repeated is None else repeated
+    said = F.lower(F.regexp_extract(content, T.ascii_edges(L.EMERGENCY), 0))
     urgent = (said != "") & ((caps > 0.4) | (exclamations >= 2))
     reasons = [F.when(T.any_of(words, said), name) for name, words in L.EMERGENCY_REASONS]
     reasons += [F.when(caps > 0.4, "CAPS"), F.when(exclamations >= 2, F.concat(exclamations.cast("string"), F.lit("!")))]
@@ -67,8 +69,8 @@ def emergency(content: Column, caps: Column, exclamations: Column) -> tuple[Colu
     return F.coalesce(repeated.isNotNull() | urgent, F.lit(False)), F.when(repeated.isNotNull(), F.concat(F.lit("REPEAT:"), repeated)).when(urgent, F.when(reason == "", "intervention").otherwise(reason))
 
 
-def enrich(messages: DataFrame) -> DataFrame:
-    """messages with all features, flags and tiers; protocol rows get tier 1, score 0 and no emotions."""
+def enrich(messages: DataFrame, repeated: Callable[[Column], Column] = T.repeated) -> DataFrame:
+    """messages with all features, flags and tiers; protocol rows get tier 1, score 0 and no emotions. repeated: the phrase of a text that stands three times in a row."""
     have = messages.columns
     for c, kind in (("ts", "timestamp"), ("thinking", "string"), ("model", "string"), ("pasted", "boolean")):
         if c not in have:
@@ -90,7 +92,7 @@ def enrich(messages: DataFrame) -> DataFrame:
         "has_thinking": F.coalesce(F.col("thinking") != "", F.lit(False)), "thinking_length": F.coalesce(F.length("thinking"), F.lit(0)),
     })
     counts = {k: F.col(f"n_{k}") for k in L.SIGNALS}
-    is_emergency, reason = emergency(content, F.col("caps_ratio"), F.col("exclamations"))
+    is_emergency, reason = emergency(content, F.col("caps_ratio"), F.col("exclamations"), repeated(content))
     total, level = tier(F.col("content_length"), score(counts), F.col("pasted"))
     referential = content_referential(content, F.col("role"), counts)
     df = df.withColumns({"is_protocol": F.col("protocol_type").isNotNull(), "emergency": is_emergency, "emergency_reason": reason, "filter_score": total, "filter_tier": level, "content_referential": referential})
@@ -100,7 +102,7 @@ def enrich(messages: DataFrame) -> DataFrame:
         "filter_tier": F.when(protocol, 1).otherwise(F.col("filter_tier")), "filter_score": F.when(protocol, 0).otherwise(F.col("filter_score")),
         "error_context": F.when(protocol, "protocol_recap").when(demoted, "mentioned_not_encountered"), "error": F.col("error") & ~protocol & ~demoted,
         "profanity": F.col("profanity") & ~protocol, "caps_ratio": F.when(protocol, 0.0).otherwise(F.col("caps_ratio")), "emergency": F.col("emergency") & ~protocol,
-        "signals": T.format_signals(counts), "repeated": F.coalesce(T.repeated_word(content), T.repeated_sentence(content)),
+        "signals": T.format_signals(counts), "repeated": repeated(content),
     }).withColumn("filter_tier_name", F.when(protocol, "skip").otherwise(F.element_at(F.create_map(*(F.lit(x) for kv in TIERS.items() for x in kv)), F.col("filter_tier"))))
 
 

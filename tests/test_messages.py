@@ -1,11 +1,15 @@
 """Message operators on hand-made rows."""
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from talus.functions import text as T
 from talus.operators import behavior, llm_passes, tags, threads
 from talus.operators import messages as M
+from talus.plans import queries, sessions  # noqa: F401  sessions registers its queries
 
 SCHEMA = "session_id string, idx int, role string, content string"
 
@@ -109,6 +113,23 @@ def test_tags(session):
     assert sum(v for (d, _), v in n.items() if d == "action_vector") == 7
 
 
+@pytest.mark.parametrize("name", ["message_tags"])
+def test_tags_are_those_of_the_sql(spark, tmp_path, name):
+    """Words beside letters that aren't ASCII, long ones, short texts, sentences said three times, other blanks."""
+    texts = [
+        "die zußen en en die", "menteciónie ciónñque que que.", "no no no", "NO No no", "Fix it now! Fix it now! Fix it now!", "yes yes\tyes", "yes\vyes yes yes", "a-be be\n\nbeta", "de de", "de de code", "wait wait waiting",
+        f"{'x' * 25} {'x' * 20} {'x' * 20}", f"{'y' * 25} {'y' * 25} {'y' * 25}", f"{'z' * 20} {'z' * 20} {'z' * 21}", "a a a a a", "damné", "éass of it", "what ass", "éError was seen", "Errorñ was seen", "an Error was seen", "ñyou forgot it!!", "you forgot it!!",
+        "todo está: éall done", "été all done", "schön schön schön", "Kelp Kelp kelp",
+    ]
+    table = pa.table({"conv_id": [k // 6 for k in range(2 * len(texts))], "turn": [k % 6 for k in range(2 * len(texts))], "role": [r for _ in texts for r in ("user", "assistant")], "text": [t for t in texts for _ in range(2)]})
+    pq.write_table(table, tmp_path / "conversations.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize(("text", "said"), [("We chose a over b because it is fast.", "chose a over b because it is fast"), ("switched from x to y.", "chose y over x because migration/upgrade"), ("nothing here", None)])
 def test_decisions(spark, text, said):
     assert spark.createDataFrame([(text,)], "content string").select(tags.decision().alias("v")).first().v == said
